@@ -108,7 +108,7 @@ def classify_load(
     order: str,
     parents: DataFrame | None = None,
 ) -> DataFrame:
-    """Decide every incoming row: typed columns plus ``status`` and ``reason``.
+    """Decide every incoming row: typed columns plus ``outcome`` and ``reason``.
 
     ``order`` is a unique arrival number. Decisions per id are taken on narrow columns (id, arrival
     number) that are combined before the shuffle; the rows meet the decision in one join on id,
@@ -138,13 +138,13 @@ def classify_load(
         .when(F.col("_orphan"), "skipped")
         .otherwise("inserted")
     )
-    decided = decided.withColumn("status", status)
+    decided = decided.withColumn("outcome", status)
     reason = F.coalesce(
         F.col("reason"),
-        F.when((F.col("status") == "skipped") & F.col("_orphan"), F.lit(MISSING_PARENT)),
+        F.when((F.col("outcome") == "skipped") & F.col("_orphan"), F.lit(MISSING_PARENT)),
     )
     return decided.withColumn("reason", reason).select(
-        *[c for c in incoming.columns if c not in set(ent.columns)], *ent.columns, "status", "reason"
+        *[c for c in incoming.columns if c not in set(ent.columns)], *ent.columns, "outcome", "reason"
     )
 
 
@@ -159,7 +159,7 @@ def insert_if_absent(incoming: DataFrame, existing: DataFrame, entity: str, orde
 
 
 def accepted(decided: DataFrame, entity: str) -> DataFrame:
-    return decided.where(F.col("status") == "inserted").select(*lookup(entity).columns)
+    return decided.where(F.col("outcome") == "inserted").select(*lookup(entity).columns)
 
 
 def upsert(old: DataFrame, new: DataFrame, entity: str) -> DataFrame:
@@ -197,7 +197,7 @@ def load_summary(decided: DataFrame, *by: str) -> DataFrame:
     with the greatest text when several occur.
     """
     def n(status: str) -> Column:
-        return F.count_if(F.col("status") == status)
+        return F.count_if(F.col("outcome") == status)
 
     return decided.groupBy(*by).agg(
         F.count(F.lit(1)).alias("received"),

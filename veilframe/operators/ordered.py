@@ -1,11 +1,12 @@
 """Order-dependent reductions that never put a table, or a hot key, into one task.
 
-A running sum, a position or a "previous value" needs an order, and a plain window would sort all
-rows of a key in one task. ``ordered_scan`` works on the order column's bits instead: rows are
+A running sum, a position or a "latest value so far" needs an order, and a plain window sorts all
+rows of a key in one task. That is right for keys of ordinary size and wrong for a key that holds a
+third of a table. ``ordered_scan`` counts keys first (combined before the shuffle). Ordinary keys
+get the plain window. Hot keys, and a scan without keys, work on the order column's bits: rows are
 scanned within buckets of 2**21 consecutive order values, bucket summaries within groups of 2**21
 buckets, group summaries within the key. Sixty-three bits are three times twenty-one, so where the
-order column is unique within a key no window partition ever holds more than 2**21 rows, whatever
-the size of the table or of its largest key.
+order column is unique within a key no window partition ever holds more than 2**21 rows.
 """
 
 from __future__ import annotations
@@ -15,7 +16,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.session import materialize
+
 BITS = 21
+HOT_ROWS = 1 << BITS
 
 
 def ordered_scan(
@@ -27,66 +31,70 @@ def ordered_scan(
     kind: str = "sum",
     inclusive: bool = True,
     tie: Column | None = None,
+    hot_rows: int = HOT_ROWS,
+    bits: int = BITS,
 ) -> DataFrame:
     """Add ``out``: the running sum, or the latest non-NULL, of ``value`` along ``order``.
 
     ``order`` is a non-negative bigint column, ``keys`` are non-NULL columns. ``inclusive`` counts
-    the row itself. ``tie`` orders rows that share an order value.
+    the row itself. ``tie`` orders rows that share an order value. With keys, the list of hot keys
+    is written to the scratch folder: at most one key per ``hot_rows`` rows, usually none.
     """
     if kind not in ("sum", "last"):
         raise ValueError("kind must be sum or last")
     keys = list(keys)
+    rows = df.withColumn("_v", value)
+    by = [F.col(order)]
+    if tie is not None:
+        rows = rows.withColumn("_tie", tie)
+        by.append(F.col("_tie"))
+    until = 0 if inclusive else -1
 
-    def summary(v: str, along: str) -> Column:
+    def over(v: str, window, end: int) -> Column:
+        window = window.rowsBetween(Window.unboundedPreceding, end)
         if kind == "sum":
-            return F.sum(v)
-        return F.max_by(v, F.when(F.col(v).isNotNull(), F.col(along)))
+            return F.coalesce(F.sum(v).over(window), F.lit(0))
+        return F.last(v, ignorenulls=True).over(window)
 
-    def before(v: str, window) -> Column:
-        window = window.rowsBetween(Window.unboundedPreceding, -1)
-        return F.sum(v).over(window) if kind == "sum" else F.last(v, ignorenulls=True).over(window)
-
-    def combine(near: Column, far: Column) -> Column:
+    def combine(near: str, far: str) -> Column:
         if kind == "sum":
-            return F.coalesce(near, F.lit(0)) + F.coalesce(far, F.lit(0))
+            return F.col(near) + F.coalesce(far, F.lit(0))
         return F.coalesce(near, far)
 
-    rows = df.withColumns({"_v": value, "_b0": F.shiftright(order, BITS)})
-    if tie is not None:
-        rows = rows.withColumn("_tie", tie)
-        along = F.struct(order, "_tie")
-        by = [F.col(order), F.col("_tie")]
+    def summary(frame: DataFrame, group: list[str], along: Column) -> DataFrame:
+        total = F.sum("_v") if kind == "sum" else F.max_by("_v", F.when(F.col("_v").isNotNull(), along))
+        return frame.groupBy(*group).agg(total.alias("_v"))
+
+    if keys:
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        hot = materialize(counts.where(F.col("_n") > hot_rows).select(*keys), "hot-keys")
+        if hot.isEmpty():
+            scanned = rows.withColumn(out, over("_v", Window.partitionBy(*keys).orderBy(*by), until))
+            return scanned.select(*df.columns, out)
+        # the planner knows the size of the written list: it is broadcast only while it is small
+        rows = rows.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
+        rows = rows.withColumn("_b0", F.when(F.col("_hot"), F.shiftright(order, bits)))
+        rows = rows.repartition(*keys, "_b0")
+        heavy = rows.where(F.col("_hot"))
     else:
-        along = F.col(order)
-        by = [F.col(order)]
+        rows = heavy = rows.withColumn("_b0", F.shiftright(order, bits))
 
-    if kind == "sum":
-        buckets = rows.groupBy(*keys, "_b0").agg(F.sum("_v").alias("_v"))
-    else:
-        buckets = rows.groupBy(*keys, "_b0").agg(
-            F.max_by("_v", F.when(F.col("_v").isNotNull(), along)).alias("_v")
-        )
-    buckets = buckets.withColumn("_b1", F.shiftright("_b0", BITS))
-    groups = buckets.groupBy(*keys, "_b1").agg(summary("_v", "_b0").alias("_v"))
+    buckets = summary(heavy, [*keys, "_b0"], F.struct(*by) if tie is not None else F.col(order))
+    buckets = buckets.withColumn("_b1", F.shiftright("_b0", bits))
+    groups = summary(buckets, [*keys, "_b1"], F.col("_b0"))
     far = groups.select(
-        *keys, "_b1", before("_v", Window.partitionBy(*keys).orderBy("_b1")).alias("_far")
+        *keys, "_b1", over("_v", Window.partitionBy(*keys).orderBy("_b1"), -1).alias("_far")
     )
+    near = over("_v", Window.partitionBy(*keys, "_b1").orderBy("_b0"), -1).alias("_near")
     offsets = (
-        buckets.withColumn("_near", before("_v", Window.partitionBy(*keys, "_b1").orderBy("_b0")))
+        buckets.select(*keys, "_b0", "_b1", near)
         .join(far, [*keys, "_b1"])
-        .select(*keys, "_b0", combine(F.col("_near"), F.col("_far")).alias("_offset"))
+        .select(*keys, "_b0", combine("_near", "_far").alias("_offset"))
     )
-
     window = Window.partitionBy(*keys, "_b0").orderBy(*by)
-    if kind == "sum":
-        local = F.sum("_v").over(window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    else:
-        end = 0 if inclusive else -1
-        local = F.last("_v", ignorenulls=True).over(
-            window.rowsBetween(Window.unboundedPreceding, end)
-        )
-    scanned = rows.withColumn("_local", local).join(offsets, [*keys, "_b0"])
-    return scanned.select(*df.columns, combine(F.col("_local"), F.col("_offset")).alias(out))
+    scanned = rows.withColumn("_local", over("_v", window, until))
+    scanned = scanned.join(offsets, [*keys, "_b0"], "left" if keys else "inner")
+    return scanned.select(*df.columns, combine("_local", "_offset").alias(out))
 
 
 def positions(
@@ -96,9 +104,9 @@ def positions(
     return ordered_scan(df, order, F.lit(1).cast("bigint"), out, keys)
 
 
-def kth_occurrence(df: DataFrame, key: str, order: str, out: str = "k") -> DataFrame:
+def kth_occurrence(df: DataFrame, keys: Sequence[str], order: str, out: str = "k") -> DataFrame:
     """Number the rows that share a key, in order of a unique id. A hot key is split by id."""
-    return positions(df, order, out, keys=[key])
+    return positions(df, order, out, keys)
 
 
 def allocate_ids(new_rows: DataFrame, existing: DataFrame, order: str) -> DataFrame:

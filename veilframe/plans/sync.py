@@ -11,9 +11,12 @@ from veilframe.functions.masks import mask_table
 from veilframe.operators.bus import (
     answer_requests, load_replies, reply_messages, summarize_loads,
 )
+from veilframe.operators.audit import watermark
 from veilframe.operators.loads import accepted, insert_if_absent, upsert
 from veilframe.operators.ordered import positions
 from veilframe.registry import ENTITY_ORDER, entity as lookup
+from veilframe.session import materialize, scratch_dir
+from veilframe.sources.messages import append_messages
 from veilframe.sources.snapshots import SnapshotStore
 
 # Rows per page of a paged copy, and how many pages one run may take.
@@ -163,41 +166,47 @@ def append_masked(rows: DataFrame, store: SnapshotStore, entity: str, order: str
     store.append(entity, insert_if_absent(rows, store.read(entity), entity, order))
 
 
-def page_requests(plan: DataFrame, entity: str, batch: int | None = None) -> DataFrame:
-    """The request messages of a page plan."""
+def page_requests(plan: DataFrame, entity: str, batch: int | None = None, round_no: int = 0) -> DataFrame:
+    """The request messages of a page plan. Ids are odd; the reply to each takes the next number."""
     size = batch or PAGE_ROWS[entity]
     body = F.to_json(
         F.struct(F.lit(entity).alias("entity"), F.col("since_id"), F.lit(size).alias("limit"))
     )
-    return plan.select(F.col("page").alias("id"), F.lit("test").alias("sender"), body.alias("body"))
+    block = (round_no * len(ENTITY_ORDER) + ENTITY_ORDER.index(entity)) << 40
+    return plan.select(
+        (F.lit(block) + F.col("page") * 2 + 1).alias("id"),
+        F.lit("test").alias("sender"), F.lit("prod").alias("recipient"), body.alias("body"),
+        F.current_timestamp().alias("created_at"), F.current_timestamp().alias("consumed_at"),
+    )
 
 
-def copy_paged_entity(
+def copy_paged(
     raw: Mapping[str, DataFrame],
-    name: str,
-    since: int = 0,
+    store: SnapshotStore,
     max_pages: int | None = MAX_PAGES,
-    batch: int | None = None,
+    log: str | None = None,
+    round_no: int = 0,
 ) -> DataFrame:
-    """The replies of a paged copy of one entity, as log rows."""
-    requests = page_requests(page_plan(raw[name], name, batch, since, max_pages), name, batch)
-    answers = answer_requests(requests, raw, kinds=[(name, False)])
-    return reply_messages(answers, F.current_timestamp())
-
+    """A delta copy through requests and replies, entity by entity: the load summary.
 
-def copy_paged(
-    raw: Mapping[str, DataFrame], masked: Mapping[str, DataFrame], max_pages: int | None = MAX_PAGES
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """A delta copy through requests and replies: (decided rows per entity, summary).
-
-    All pages of an entity are asked for at once; each page starts where the one before it ends.
+    All pages of an entity are asked for at once; each starts where the one before it ends. Requests
+    and replies are written to the message log (``log``, or the scratch folder) before they are
+    loaded, and each entity is in the masked copy before its children come.
     """
+    spark = store.spark
+    path = log or scratch_dir(spark, "log")
     decided: dict[str, DataFrame] = {}
     for name in ENTITY_ORDER:
-        known = dict(masked)
-        parent = lookup(name).parent
-        if parent:
-            known[parent] = masked[parent].select("id").unionByName(accepted(decided[parent], parent).select("id"))
-        replies = copy_paged_entity(raw, name, max_pages=max_pages)
+        known = {e: store.read(e) for e in (name, lookup(name).parent) if e}
+        since = watermark(known[name]).first()[0]
+        plan = page_plan(raw[name], name, None, since, max_pages)
+        requests = materialize(page_requests(plan, name, None, round_no), f"requests-{name}")
+        answers = answer_requests(requests, raw, kinds=[(name, False)])
+        replies = materialize(
+            reply_messages(answers, F.current_timestamp(), base=1).withColumn("consumed_at", F.current_timestamp()),
+            f"replies-{name}",
+        )
+        append_messages(requests.unionByName(replies), path)
         decided[name] = load_replies(replies, known, [name])[name]
-    return decided, summarize_loads(decided)
+        store.append(name, accepted(decided[name], name))
+    return summarize_loads(decided)

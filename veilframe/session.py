@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the operators rely on; all of them are plain Spark options.
 DEFAULTS = {
@@ -40,3 +40,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="veilframe-"))
         shared = _LOCAL_SCRATCH[0]
     return f"{shared.rstrip('/')}/veilframe/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a frame to the shared scratch folder and read it back.
+
+    For results that several later steps read: it is computed once, survives lost executors, and
+    the planner knows its size when it chooses a join. Columns can be pruned when it is read.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
