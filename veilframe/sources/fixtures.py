@@ -23,6 +23,9 @@ INPUTS = {
     "bus_messages": ("events",),
     "trace_lines": ("events",),
     "recording_events": ("conversations",),
+    "request_bodies": ("events",),
+    "dirty_accounts": ("orders",),
+    "dirty_cards": ("orders",),
 }
 
 SQL = {
@@ -123,6 +126,48 @@ SELECT CAST(event_id AS BIGINT) AS seq,
                  || '","content":[{"type":"thinking","thinking":"step ' || CAST(event_id AS STRING) || '"},{"type":"text","text":"' || CASE WHEN event_id % 5 = 0 THEN '  ' ELSE 'say ' || CAST(event_id AS STRING) END
                  || '"},{"type":"reasoning","text":"why ' || CAST(event_id % 9 AS STRING) || '"}]}}' END AS line
 FROM events
+""",
+    # Requests of every kind, sound and unsound.
+    "request_bodies": r"""
+SELECT CAST(event_id AS BIGINT) AS id, 'test' AS sender, 'prod' AS recipient,
+       CASE event_id % 13
+         WHEN 0 THEN '{"entity":"nope"}'
+         WHEN 1 THEN '{"entity":"cards","limit":0,"since_id":' || CAST(event_id AS STRING) || '}'
+         WHEN 2 THEN '{"entity":"customers","limit":600,"customer_id":' || CAST(event_id % 1500 AS STRING) || '}'
+         WHEN 3 THEN '{"entity":"cards","limit":-1}'
+         WHEN 4 THEN '{"entity":"cards","limit":1.5}'
+         WHEN 5 THEN '{"entity":"accounts","limit":"","customer_id":' || CAST(user_id AS STRING) || '}'
+         WHEN 6 THEN '{"entity":"cards","customer_id":5}'
+         WHEN 7 THEN '{"entity":"customers","since_id":null,"limit":25}'
+         WHEN 8 THEN '{"entity":"addresses","colour":"red","limit":7,"customer_id":' || CAST(event_id % 1500 AS STRING) || '}'
+         WHEN 9 THEN '{"entity":"cards"'
+         WHEN 10 THEN '[1,2]'
+         WHEN 11 THEN '{"entity":"transactions","account_id":"' || CAST(event_id AS STRING) || '","limit":20}'
+         ELSE '{"entity":"accounts","customer_id":' || CAST(event_id % 1500 AS STRING) || ',"since_id":' || CAST(event_id AS STRING) || ',"limit":' || CAST(event_id % 600 AS STRING) || '}' END AS body,
+       ts AS created_at, CAST(NULL AS TIMESTAMP) AS consumed_at
+FROM events
+""",
+    # Accounts as text with every kind of fault, repeats included.
+    "dirty_accounts": r"""
+SELECT CAST(k * 2 + again AS BIGINT) AS arrival,
+       CASE WHEN k % 17 = 0 THEN 'x' || CAST(k AS STRING) WHEN k % 61 = 0 THEN '99999999999999999999' ELSE CAST(k AS STRING) END AS id,
+       CASE WHEN k % 19 = 0 THEN CAST(o_custkey + 1000000000 AS STRING) WHEN k % 47 = 0 THEN NULL ELSE CAST(o_custkey + 1 AS STRING) END AS customer_id,
+       '****1234' AS account_number, '****5678' AS routing_number,
+       CASE WHEN k % 23 = 0 THEN 'loan' ELSE 'savings' END AS account_type,
+       CASE WHEN k % 29 = 0 THEN '1234567890123.00' WHEN k % 67 = 0 THEN '12,5' ELSE CAST(k AS STRING) || '.25' END AS balance,
+       CASE WHEN k % 31 = 0 THEN 'USDX' ELSE 'USD' END AS currency,
+       CASE WHEN k % 37 = 0 THEN NULL ELSE 'active' END AS status,
+       CASE WHEN k % 71 = 0 THEN 'soon' ELSE '2024-05-06 07:08:09' END AS opened_at
+FROM (SELECT o_orderkey + 1 AS k, o_custkey, 0 AS again FROM orders
+      UNION ALL SELECT o_orderkey + 1 AS k, o_custkey, 1 AS again FROM orders WHERE o_orderkey % 41 = 0) x
+""",
+    "dirty_cards": r"""
+SELECT CAST(o_orderkey + 1 AS BIGINT) AS arrival, CAST(o_orderkey + 1 AS STRING) AS id, CAST(o_orderkey + 1 AS STRING) AS account_id,
+       '4000 **** **** 1234' AS card_number, CASE WHEN o_orderkey % 43 = 0 THEN NULL ELSE 'A ***' END AS cardholder_name,
+       CASE WHEN o_orderkey % 53 = 0 THEN 'diners' ELSE 'visa' END AS brand,
+       CASE WHEN o_orderkey % 59 = 0 THEN '70000' WHEN o_orderkey % 61 = 0 THEN '1.5' ELSE CAST(o_orderkey % 14 AS STRING) END AS expiry_month,
+       '2027' AS expiry_year, '***' AS cvv, 'frozen' AS status
+FROM orders
 """,
     # One recording per conversation; the first event carries the run's parameters and verdict.
     "recording_events": r"""
@@ -159,7 +204,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """An input by name; entities and messages come out in their declared schema."""
     tables = {t: driver_table(spark, sf_dir, t) for t in INPUTS[name]}
     df = run_sql(spark, SQL[name], **tables)
-    if name == "bus_messages":
+    if name in ("bus_messages", "request_bodies"):
         return conform(df, MESSAGE_SCHEMA)
     if name.startswith("bank_"):
         return conform(df, entity(name.removeprefix("bank_")).schema)

@@ -30,20 +30,31 @@ class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._known: dict[str, int] = {}
 
     def _commits(self) -> DataFrame:
         return self.spark.read.schema(self.COMMIT).json(f"{self.root}/commits")
 
     def version(self, name: str) -> int:
-        """Current version of an entity, 0 where it was never written. Reads a few log lines."""
+        """Current version of an entity, 0 where it was never written.
+
+        The log is read once; a store is the only writer of its root and keeps up by itself.
+        """
         entity(name)
+        if not self._known:
+            self.refresh()
+        return self._known[name]
+
+    def refresh(self) -> None:
+        """Read the commit log: one line per replacement ever made."""
+        self._known = dict.fromkeys(ENTITY_ORDER, 0)
         try:
-            row = self._commits().where(F.col("entity") == name).agg(F.max("version")).first()
+            rows = self._commits().groupBy("entity").agg(F.max("version").alias("version")).collect()
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return 0
-        return row[0] or 0
+            return
+        self._known.update({r["entity"]: r["version"] for r in rows})
 
     def path(self, name: str, version: int) -> str:
         return f"{self.root}/{name}/v{version:06d}"
@@ -62,7 +73,8 @@ class SnapshotStore:
         version = self.version(name) + 1
         self._project(name, df).write.mode("overwrite").parquet(self.path(name, version))
         commit = self.spark.createDataFrame([(name, version)], self.COMMIT)
-        commit.write.mode("append").json(f"{self.root}/commits")
+        commit.coalesce(1).write.mode("append").json(f"{self.root}/commits")
+        self._known[name] = version
         return version
 
     def append(self, name: str, df: DataFrame) -> None:
