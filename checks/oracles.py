@@ -83,7 +83,7 @@ def with_inputs(sql: str) -> str:
     visit(sql)
     if not needed:
         return sql
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + "\n" + sql
+    return "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed) + (",\n" + sql[5:] if sql.startswith("WITH ") else "\n" + sql)
 
 
 def oracle(name: str, sql: str) -> None:
@@ -125,14 +125,14 @@ oracle(
     "SELECT * FROM masked_customers UNION ALL SELECT id + (SELECT max(id) FROM bank_customers) AS id, * EXCLUDE (id) FROM bank_customers",
 )
 
-_TRACE = f"""(SELECT seq, agent, at, line, {js('line', '$.type')} AS type, {js('line', '$.toolName')} AS tool_name,
+_TRACE = f"""(SELECT seq, agent, seen_at, line, {js('line', '$.type')} AS type, {js('line', '$.toolName')} AS tool_name,
   coalesce(CAST({js('line', '$.isError')} AS BOOLEAN), false) AS is_error, {js('line', '$.error')} AS error,
   {js('line', '$.message.role')} AS role,
   {js('line', '$.message.provider')} || '/' || {js('line', '$.message.model')} AS model FROM trace_lines WHERE line <> '' AND json_valid(line))"""
 CTES["trace_events"] = _TRACE[1:-1]
 oracle(
     "S8_read_trace",
-    """SELECT seq, agent, at, type, tool_name, is_error, error, role, model,
+    """SELECT seq, agent, seen_at, type, tool_name, is_error, error, role, model,
     CASE WHEN type = 'tool_execution_start' THEN '{"entity":"cards","limit":' || json_extract_string(line, '$.args.limit') || '}' END AS args
     FROM trace_events""",
 )
@@ -152,8 +152,7 @@ def draw(key: str, salt: int, n: int | str, seed: int = 42) -> str:
     p = 2147483647
     h1 = f"((({key}) % {p} * 48271 + {(seed * 69621 + salt * 16807) % p}) % {p})"
     h2 = f"(({h1} * {h1} + 1013904223) % {p})"
-    h3 = f"(({h2} * 48271 + {salt}) % {p})"
-    return f"((({h3} * {h3} + {h3}) % {p}) % ({n}))"
+    return f"((({h2} * 48271 + {salt}) % {p}) % ({n}))"
 
 
 def pick(values, key: str, salt: int) -> str:
@@ -355,9 +354,9 @@ oracle(
     FROM dirty_cards""",
 )
 CTES["account_load"] = """SELECT arrival, CASE WHEN reason IS NOT NULL THEN 'skipped'
-    WHEN CAST(id AS BIGINT) IN (SELECT id FROM early_accounts) THEN 'conflict'
-    WHEN arrival > min(CASE WHEN reason IS NULL AND CAST(customer_id AS BIGINT) IN (SELECT id FROM bank_customers) THEN arrival END) OVER (PARTITION BY id) THEN 'conflict'
-    WHEN CAST(customer_id AS BIGINT) NOT IN (SELECT id FROM bank_customers) THEN 'skipped' ELSE 'inserted' END AS outcome,
+    WHEN TRY_CAST(id AS BIGINT) IN (SELECT id FROM early_accounts) THEN 'conflict'
+    WHEN arrival > min(CASE WHEN reason IS NULL AND TRY_CAST(customer_id AS BIGINT) IN (SELECT id FROM bank_customers) THEN arrival END) OVER (PARTITION BY id) THEN 'conflict'
+    WHEN TRY_CAST(customer_id AS BIGINT) NOT IN (SELECT id FROM bank_customers) THEN 'skipped' ELSE 'inserted' END AS outcome,
   reason AS static_reason FROM account_report"""
 CTES["account_outcome"] = """SELECT arrival, outcome, CASE WHEN outcome = 'skipped' THEN coalesce(static_reason, 'parent row missing (FK)') END AS reason FROM account_load"""
 oracle("J6_classified_load", "SELECT * FROM account_outcome")

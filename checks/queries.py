@@ -164,7 +164,7 @@ def _(spark, sf):
 @query("S8_read_trace")
 def _(spark, sf):
     parsed = trace_files.parse_trace(fixture(spark, sf, "trace_lines"))
-    return parsed.select("seq", "agent", "at", "type", "tool_name", "is_error", "error", "role", "model", "args")
+    return parsed.select("seq", "agent", "seen_at", "type", "tool_name", "is_error", "error", "role", "model", "args")
 
 
 def _facts(spark, sf) -> DataFrame:

@@ -48,11 +48,13 @@ MONTH = 30 * DAY
 
 
 def draw(key: Column, seed: int, salt: int, n: Column | int) -> Column:
-    """A repeatable number in [0, n): two rounds of squaring modulo a prime, all in bigint."""
+    """A repeatable number in [0, n): multiply, square and multiply modulo a prime, all in bigint.
+
+    The key appears twice in the expression and no more, which keeps a row of draws cheap to plan.
+    """
     h = (key % PRIME * 48271 + (seed * 69621 + salt * 16807) % PRIME) % PRIME
     h = (h * h + 1013904223) % PRIME
-    h = (h * 48271 + salt) % PRIME
-    return ((h * h + h) % PRIME) % n
+    return ((h * 48271 + salt) % PRIME) % n
 
 
 def _pick(values: tuple, key: Column, seed: int, salt: int) -> Column:

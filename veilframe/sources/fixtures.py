@@ -105,7 +105,7 @@ SELECT id, sender, recipient, body, created_at, consumed_at FROM (
     "trace_lines": r"""
 SELECT CAST(event_id AS BIGINT) AS seq,
        CASE WHEN user_id % 3 = 0 THEN 'test' ELSE 'prod' END AS agent,
-       ts AS at,
+       ts AS seen_at,
        CASE WHEN event_id % 41 = 0 THEN ''
             WHEN event_id % 43 = 0 THEN '{"type":"agent_start"'
             WHEN event_id % 53 = 0 THEN '{"type":"heartbeat"}'
@@ -209,7 +209,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name.startswith("bank_"):
         return conform(df, entity(name.removeprefix("bank_")).schema)
     if name == "trace_lines":
-        return df.withColumn("at", F.col("at").cast("timestamp"))
+        return df.withColumn("seen_at", F.col("seen_at").cast("timestamp"))
     return df
 
 
