@@ -78,7 +78,7 @@ def main() -> None:
             drain(df)
 
     def answer() -> None:
-        drain(bus.answer_requests(requests, raw, bus.request_kinds(requests)))
+        drain(bus.answer_requests(requests, raw))
 
     def leaks() -> None:
         for table, column in (("documents", "text"), ("pages", "html"), ("conversations", "text")):

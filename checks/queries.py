@@ -420,7 +420,7 @@ def _(spark, sf):
 def _answers(spark, sf, name: str) -> DataFrame:
     requests = reads.pending(fixture(spark, sf, name).withColumn("consumed_at", F.lit(None).cast("timestamp")), "prod")
     tables = bank_tables(spark, sf)
-    answers = bus.answer_requests(requests, tables, bus.request_kinds(requests))
+    answers = bus.answer_requests(requests, tables)
     return answers.select("request_id", "ok", "entity", "n_rows", "first_id", "last_id", F.md5("body").alias("body_md5"))
 
 

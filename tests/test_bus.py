@@ -100,10 +100,20 @@ def test_answers_match_brute_force(spark, sf_dir):
     assert json.loads(answers[202]["body"]) == {"ok": False, "error": bus.UNKNOWN_ENTITY, "echo": None}
 
 
+def test_only_reachable_ids_are_kept(spark):
+    ids = spark.range(0, 100 * 4096, 4).select(F.lit("cards").alias("entity"), F.lit(-1).cast("bigint").alias("scope"), F.col("id").alias("place"))
+    marks = spark.createDataFrame([("cards", -1, 40 * 4096 + 5), ("cards", -1, -1)], "entity STRING, scope BIGINT, place BIGINT")
+    kept = bus._reachable(ids, marks)
+    for mark in (40 * 4096 + 5, -1):
+        after = [r["place"] for r in ids.where(F.col("place") > mark).orderBy("place").limit(500).collect()]
+        assert kept.where(F.col("place").isin(after)).count() == 500
+    assert kept.count() <= 4 * 1024
+
+
 def test_replies_carry_masked_rows_that_load_again(spark, sf_dir):
     frames = bank_tables(spark, sf_dir)
     asks = message(spark, (1, "test", '{"entity":"customers","limit":500}'), (2, "test", '{"entity":"addresses","limit":500}'))
-    replies = bus.reply_messages(bus.answer_requests(asks, frames, bus.request_kinds(asks)), F.current_timestamp())
+    replies = bus.reply_messages(bus.answer_requests(asks, frames), F.current_timestamp())
     empty = {n: df.limit(0) for n, df in frames.items()}
     decided = bus.load_replies(replies, empty, ["customers", "addresses"])
     loaded = bus.accepted(decided["customers"], "customers")

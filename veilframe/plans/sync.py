@@ -62,19 +62,34 @@ def slice_copy(raw: Mapping[str, DataFrame], customers: int = 5) -> dict[str, Da
 def customer_account_card(tables: Mapping[str, DataFrame], n: int = 10) -> DataFrame:
     """The boundary check: customers with accounts and, where there are any, cards.
 
-    Ordered by customer id, ties by account and card, so the ten rows are always the same.
+    Ordered by customer id, ties by account and card, so the ten rows are always the same. Every
+    customer with an account gives a row and so does every account, so n rows come from the first n
+    such customers and the first n of their accounts: only ids are joined in full, and what is
+    broadcast has n rows.
     """
-    c = tables["customers"].alias("c")
-    a = tables["accounts"].alias("a")
-    k = tables["cards"].alias("k")
+    customers, accounts, cards = tables["customers"], tables["accounts"], tables["cards"]
+    owners = (
+        customers.select(F.col("id").alias("customer_id"))
+        .join(accounts.select("customer_id"), "customer_id", "left_semi")
+        .orderBy("customer_id").limit(n)
+    )
+    people = customers.select(F.col("id").alias("customer_id"), "last_name", "ssn", "email")
+    held = accounts.select("customer_id", F.col("id").alias("account_id"), "account_number")
+    heads = held.join(F.broadcast(owners), "customer_id", "left_semi").orderBy("customer_id", "account_id").limit(n)
+    named = heads.join(people.join(F.broadcast(owners), "customer_id", "left_semi"), "customer_id")
+    plastic = (
+        cards.select("account_id", F.col("id").alias("card_id"), "card_number")
+        .join(F.broadcast(heads.select("customer_id", "account_id")), "account_id")
+        .orderBy("customer_id", "account_id", "card_id").limit(n)
+        .drop("customer_id")
+    )
     return (
-        c.join(a, F.col("a.customer_id") == F.col("c.id"))
-        .join(k, F.col("k.account_id") == F.col("a.id"), "left")
-        .orderBy(F.col("c.id"), F.col("a.id"), F.col("k.id"))
+        named.join(plastic, "account_id", "left")
+        .orderBy("customer_id", "account_id", "card_id")
         .limit(n)
         .select(
-            F.col("c.id"), "c.last_name", "c.ssn", "c.email", "a.account_number", "k.card_number",
-            F.col("a.id").alias("account_id"), F.col("k.id").alias("card_id"),
+            F.col("customer_id").alias("id"), "last_name", "ssn", "email", "account_number", "card_number",
+            "account_id", "card_id",
         )
     )
 

@@ -18,9 +18,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from veilframe.functions.masks import mask_table
 from veilframe.functions.text import canonical_json
 from veilframe.operators.audit import bus_aggregates, row_counts
-from veilframe.operators.bus import (
-    REPLY_ID_BASE, answer_requests, load_replies, reply_messages, request_kinds,
-)
+from veilframe.operators.bus import REPLY_ID_BASE, answer_requests, load_replies, reply_messages
 from veilframe.operators.loads import accepted, missing_parents
 from veilframe.operators.traces import is_fault, trace_filter
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity as lookup
@@ -87,8 +85,7 @@ def answer_batch(
     requests = batch.where(F.col("recipient") == recipient)
     answered = _existing_messages(batch, replies).select((F.col("id") - REPLY_ID_BASE).alias("id"))
     fresh = normalise_messages(requests).join(answered, "id", "left_anti")
-    kinds = request_kinds(fresh)
-    answers = answer_requests(fresh, tables, kinds)
+    answers = answer_requests(fresh, tables)
     append_messages(reply_messages(answers, F.current_timestamp()), replies)
 
 
