@@ -448,6 +448,11 @@ oracle(
     'null value in column "' || CASE {_BE} WHEN 'customers' THEN 'first_name' WHEN 'cards' THEN 'account_id' ELSE 'customer_id' END || '" of relation "' || {_BE}
     || '" violates not-null constraint' AS reason FROM bus_messages WHERE sender = 'prod' AND json_extract_string(body, '$.ok') = 'true'""",
 )
+oracle(
+    "A8_load_summary_per_reply",
+    f"""SELECT {_BE} AS entity, id AS reply_id, CAST(1 AS BIGINT) AS received, CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS conflicts, CAST(1 AS BIGINT) AS skipped
+    FROM bus_messages WHERE sender = 'prod' AND json_extract_string(body, '$.ok') = 'true' AND {_BE} IN ('customers', 'addresses')""",
+)
 oracle(
     "J11_reply_outcomes",
     f"""SELECT {_BE} AS entity, CASE WHEN json_extract_string(body, '$.ok') = 'true' THEN 'rows' ELSE 'error' END AS outcome, count(*) AS replies,

@@ -505,6 +505,13 @@ def _(spark, sf):
     return loads.load_summary(_dirty_load(spark, sf).withColumn("entity", F.lit("accounts")), "entity")
 
 
+@query("A8_load_summary_per_reply")
+def _(spark, sf):
+    messages = fixture(spark, sf, "bus_messages").where(F.col("sender") == "prod")
+    decided = bus.load_replies(messages, earlier(masked_tables(spark, sf)), ["customers", "addresses"])
+    return bus.summarize_loads(decided, "reply_id").drop("reason")
+
+
 @query("A9_seed_summary")
 def _(spark, sf):
     return audit.seed_summary(bank_tables(spark, sf))
@@ -710,7 +717,8 @@ def _(spark, sf):
 
 @query("C3_copy_paged")
 def _(spark, sf):
-    return sync.copy_paged(bank_tables(spark, sf), store_at(spark, "paged"), max_pages=None)
+    raw = {n: materialize(df, f"raw-{n}") for n, df in bank_tables(spark, sf).items()}
+    return sync.copy_paged(raw, store_at(spark, "paged"), max_pages=None)
 
 
 @query("C4_full_run")
@@ -802,7 +810,7 @@ def _(spark, sf):
 @query("T5_stream_leak_monitor")
 def _(spark, sf):
     path = as_files(fixture(spark, sf, "bus_messages"), "messages")
-    flows.stream_leak_monitor(_stream(spark, path, MESSAGE_SCHEMA), "t5_monitor", interval=None).awaitTermination()
+    flows.stream_leak_monitor(_stream(spark, path, MESSAGE_SCHEMA), "t5_monitor", scratch_dir(spark, "t5"), None).awaitTermination()
     return spark.table("t5_monitor")
 
 
@@ -818,5 +826,5 @@ def _(spark, sf):
 def _(spark, sf):
     lines = fixture(spark, sf, "trace_lines")
     path = as_files(lines, "traces", order="seq")
-    flows.stream_trace(_stream(spark, path, lines.schema), "t7_trace", interval=None).awaitTermination()
+    flows.stream_trace(_stream(spark, path, lines.schema), "t7_trace", scratch_dir(spark, "t7"), None).awaitTermination()
     return spark.table("t7_trace")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tests.conftest import rows
 from veilframe.functions.masks import mask_table
 from veilframe.operators import audit, generate, loads
+from veilframe.plans import full_run as runs
 from veilframe.plans import sync
 from veilframe.plans.full_run import full_run
 from veilframe.registry import ENTITY_ORDER, entity
@@ -78,17 +79,20 @@ def test_generated_bank_is_sound(spark):
 
 
 def test_full_run_passes(spark, tmp_path):
-    steps, summary = full_run(spark, str(tmp_path / "run"), customers=5, append=2)
-    assert [r["status"] for r in steps.orderBy("step_no").collect()] == ["done"] * 5
+    steps, summary = full_run(spark, str(tmp_path / "run"), customers=3)
+    assert [r["status"] for r in steps.orderBy("step_no").collect()] == ["done"] * 3
     row = summary.first()
     assert row["verdict"] == "pass" and row["summary"].startswith("PASS · 5 checks · ")
 
 
-def test_full_run_reports_the_first_failure(spark, tmp_path):
-    # one page of thirty transactions is not all of them
-    steps, summary = full_run(spark, str(tmp_path / "run"), customers=5, max_pages=1)
+def test_full_run_reports_the_first_failure(spark, tmp_path, monkeypatch):
+    # nothing is copied, so the counts differ and no request was made
+    no_rows = spark.createDataFrame([], "entity STRING, inserted BIGINT, received BIGINT")
+    monkeypatch.setattr(runs, "copy_paged", lambda *args, **kwargs: no_rows)
+    steps, summary = full_run(spark, str(tmp_path / "run"), customers=3)
     assert [r["status"] for r in steps.orderBy("step_no").collect()] == ["done", "done", "failed"]
-    assert summary.first()["summary"].startswith("FAIL · test holds the same row counts as prod")
+    text = summary.first()["summary"]
+    assert text.startswith("FAIL · every request got a reply") and "customers 0/3" in text
 
 
 def test_audits_tell_raw_from_masked(spark, sf_dir):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.registry import ENUMS, Entity, children_of, entity as lookup
+from veilframe.session import materialize
 
 MISSING_PARENT = "parent row missing (FK)"
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
@@ -83,18 +84,15 @@ def missing_parents(rows: DataFrame, parents: DataFrame, key: str) -> DataFrame:
     """Distinct parent keys of ``rows`` that no parent has.
 
     The children are reduced to distinct keys before the shuffle, so a parent that owns a third of
-    all children is one row per task here.
+    all children is one row per task here. The result is written: it is small or empty in a sound
+    load, and with its size known the planner probes it in place instead of shuffling the children.
     """
     wanted = rows.select(F.col(key).alias("id")).where(F.col("id").isNotNull()).distinct()
-    return wanted.join(parents.select("id"), "id", "left_anti")
+    return materialize(wanted.join(parents.select("id"), "id", "left_anti"), "missing-parents")
 
 
 def fk_violations(rows: DataFrame, parents: DataFrame, entity: str) -> DataFrame:
-    """Rows whose parent is absent, with the reason.
-
-    In a sound load the set of missing parents is small or empty: the adaptive plan then probes it
-    in place and the rows themselves are never shuffled.
-    """
+    """Rows whose parent is absent, with the reason."""
     ent = lookup(entity)
     lost = missing_parents(rows, parents, ent.parent_key).withColumnRenamed("id", ent.parent_key)
     found = rows.join(lost, ent.parent_key, "left_semi").select(*rows.columns)
@@ -165,11 +163,11 @@ def accepted(decided: DataFrame, entity: str) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, entity: str) -> DataFrame:
     """Insert or replace by id: the new snapshot.
 
-    Which old rows survive is decided on ids alone. In a mirror few or none do, and the adaptive
-    plan then fetches them without shuffling the old rows.
+    Which old rows survive is decided on ids alone and written first. In a mirror few or none do, so
+    the planner, knowing the size, fetches them without shuffling the old rows.
     """
     columns = lookup(entity).columns
-    stale = old.select("id").join(new.select("id"), "id", "left_anti")
+    stale = materialize(missing_ids(old, new), "stale-ids")
     survivors = old.join(stale, "id", "left_semi")
     return new.select(*columns).unionByName(survivors.select(*columns))
 
