@@ -34,4 +34,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(driver.QUERIES) == set(driver.ORACLES)
