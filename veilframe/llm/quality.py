@@ -1,6 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
-Each text becomes eleven statistics: logarithms of sizes and smoothed log-odds of shares. Each class
+Each text becomes ten statistics: a logarithm of its size and log-odds of shares, each drawn towards
+an ordinary level by a few pseudo-counts, so that a text of one word is not an outlier. Each class
 has a mean and a covariance, shrunk towards the pooled one and towards a multiple of the identity; a
 score is the logistic of the difference of the two Mahalanobis log densities, worked out with the
 inverse Cholesky factors that are computed once.
@@ -25,8 +26,10 @@ from pyspark.sql import types as T
 from veilframe.llm.common import column
 from veilframe.llm.words import SPACE, flat, word_hashes, words
 
-NAMES = ("bytes", "words", "word_bytes", "upper", "symbols", "digits", "marks", "lines", "distinct", "repeats", "packed")
+NAMES = ("words", "word_bytes", "upper", "symbols", "digits", "marks", "lines", "distinct", "repeats", "packed")
 TRAIN_ROWS = 100_000
+PSEUDO = 20  # bytes or words of ordinary text that every text is counted with
+ORDINARY = (0.03, 0.005, 0.005, 0.003)  # their shares of the kinds below
 KINDS = np.zeros((4, 256), bool)  # upper case, symbols, digits, exclamation and the like
 KINDS[0, 65:91] = True
 KINDS[1, [ord(c) for c in "#$%&*+/<=>@\\^_`{|}~[]"]] = True
@@ -58,14 +61,14 @@ def statistics(array: pa.Array) -> np.ndarray:
     raw = data.tobytes()
     packed = np.array([len(zlib.compress(raw[a:b], 1)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], float)
 
-    def odds(part: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        return np.log((part + 0.5) / (np.maximum(whole - part, 0) + 0.5))
+    def odds(part: np.ndarray, whole: np.ndarray, usual: float) -> np.ndarray:
+        return np.log((part + PSEUDO * usual) / (np.maximum(whole - part, 0) + PSEUDO * (1 - usual)))
 
-    shares = [odds(count(kind[data]), full) for kind in KINDS]
+    shares = [odds(count(kind[data]), full, usual) for kind, usual in zip(KINDS, ORDINARY, strict=True)]
     return np.column_stack(
         [
-            np.log1p(size), np.log1p(n_words), np.log((full + 1) / (n_words + 1)), *shares, odds(count(data == 10), size),
-            odds(distinct, n_words), odds(repeats, n_words), np.log(packed / (size + 20)),
+            np.log(n_words + PSEUDO), np.log((full + 5 * PSEUDO) / (n_words + PSEUDO)), *shares, odds(count(data == 10), size, 0.01),
+            odds(distinct, n_words, 0.9), odds(repeats, n_words, 0.01), np.log((packed + 5 * PSEUDO) / (size + 10 * PSEUDO)),
         ]
     )
 
