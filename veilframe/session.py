@@ -42,7 +42,7 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/veilframe/{purpose}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
+def materialize(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """Write a frame to the shared scratch folder and read it back.
 
     For results that several later steps read: it is computed once, survives lost executors, and
@@ -50,5 +50,5 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return spark.read.schema(df.schema).parquet(path)
