@@ -29,9 +29,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def saved(df: DataFrame, purpose: str) -> DataFrame:
+def saved(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """A table in the shared scratch folder: computed once, survives lost executors, has a known size."""
-    return materialize(df, f"llm-{purpose}")
+    return materialize(df, f"llm-{purpose}", compression)
 
 
 def discard(*frames: DataFrame) -> None:
