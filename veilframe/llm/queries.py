@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, exact_dedup, packing, quality, topk
+from veilframe.llm import chat, exact_dedup, packing, quality, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,8 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"))
+
+
+@query("op7_sharding")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.shard(table(spark, sf, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
