@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, exact_dedup, packing, quality, sharding, topk
+from veilframe.llm import chat, exact_dedup, near_dedup, packing, quality, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +103,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op7_sharding")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(table(spark, sf, "documents")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+@query("op4_prob_minhash")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf, "documents")).select("doc_id", "class_id", "class_rows", "kept")

@@ -5,6 +5,8 @@ A word is a run of bytes that holds no ASCII white space. Hashes are 64 bits wid
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -24,6 +26,21 @@ BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64))
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 
+SLICE_BYTES = 2 << 20  # of text that whole-array operations take at once; a longer text is taken alone
+SLICE_ROWS = 1024
+
+
+def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of bounded rows and text bytes, so that what is worked out from them stays small."""
+    sizes = np.cumsum(np.diff(flat(batch.column(text))[1]))
+    begin = 0
+    while begin < batch.num_rows:
+        upto = sizes[begin - 1] if begin else 0
+        end = min(max(int(np.searchsorted(sizes, upto + SLICE_BYTES, "right")), begin + 1), begin + SLICE_ROWS)
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts one after the other, and where each text begins (and the last ends)."""
     array = array.cast(pa.large_binary())
