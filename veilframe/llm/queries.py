@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, exact_dedup, near_dedup, packing, quality, sharding, topk
+from veilframe.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,19 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_prob_minhash")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf, "documents")).select("doc_id", "class_id", "class_rows", "kept")
+
+
+DOMAINS = {"clean": 0.95, "toxic": 0.03, "low": 0.02}
+
+
+def domains_of(labels: DataFrame) -> DataFrame:
+    """(doc_id, domain) of the labelled table."""
+    quality_is, toxic_is = F.col("quality"), F.coalesce(F.col("toxic"), F.lit(0))
+    return labels.select("doc_id", F.when(quality_is == 0, "low").when((quality_is == 1) & (toxic_is == 1), "toxic").when(quality_is == 1, "clean").alias("domain"))
+
+
+@query("op5_soft_mixing")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf, "documents"), domains_of(table(spark, sf, "labels")), DOMAINS)
+    named = [F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
+    return mixed.select(F.col("id").alias("doc_id"), "tokens", *named, "rate", "copies")
