@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import saved, small, texts
+from veilframe.llm.words import slices
 from veilframe.operators.ordered import ordered_scan
 
 WINDOW = 1024
@@ -105,7 +106,7 @@ def token_streams(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text")):
             ids = [np.append(x, np.uint16(END_ID)) for x in encode(batch.column("text"), path)]
             n = np.array([len(x) for x in ids], np.int64)
             starts = at + np.cumsum(n) - n

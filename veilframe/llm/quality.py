@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.llm.common import column
-from veilframe.llm.words import SPACE, flat, word_hashes, words
+from veilframe.llm.words import SPACE, flat, slices, word_hashes, words
 
 NAMES = ("words", "word_bytes", "upper", "symbols", "digits", "marks", "lines", "distinct", "repeats", "packed")
 TRAIN_ROWS = 100_000
@@ -39,6 +39,11 @@ KINDS[3, [ord(c) for c in "!?"]] = True
 
 def statistics(array: pa.Array) -> np.ndarray:
     """The statistics of each text, one row per text."""
+    parts = slices(pa.RecordBatch.from_arrays([array], names=["text"]), "text")
+    return np.concatenate([np.zeros((0, len(NAMES))), *(few_statistics(p.column("text")) for p in parts)])
+
+
+def few_statistics(array: pa.Array) -> np.ndarray:
     n = len(array)
     data, offsets = flat(array)
     size = np.diff(offsets)
