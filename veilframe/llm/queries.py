@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, sharding, topk
+from veilframe.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, secrets, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -124,3 +124,14 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf, "documents"), domains_of(table(spark, sf, "labels")), DOMAINS)
     named = [F.col(f"p_{i}").alias(f"p_{d}") for i, d in enumerate(DOMAINS)]
     return mixed.select(F.col("id").alias("doc_id"), "tokens", *named, "rate", "copies")
+
+
+@query("op6_secret_scan")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    found = secrets.find_secrets(docs, secrets.samples_of(docs, table(spark, sf, "labels")))
+    kinds = [k for k, _, _, _ in secrets.PATTERNS]
+    kind_of = F.transform("spans", lambda s: s["kind"])
+    counts = [(F.size("spans") - F.size(F.array_remove(kind_of, k))).cast("bigint").alias(f"n_{k}") for k in kinds]
+    base = F.filter("spans", lambda s: s["kind"] != "markov")
+    return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
