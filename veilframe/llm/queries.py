@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, exact_dedup, mixing, near_dedup, packing, quality, secrets, sharding, topk
+from veilframe.llm import chat, exact_dedup, language, mixing, near_dedup, packing, quality, secrets, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -135,3 +135,9 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
     counts = [(F.size("spans") - F.size(F.array_remove(kind_of, k))).cast("bigint").alias(f"n_{k}") for k in kinds]
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     return found.select("doc_id", *counts, F.sha2(secrets.written(base), 256).alias("base_sha256"), secrets.written(F.col("spans")).alias("spans"))
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    model = language.train(table(spark, sf, "documents"))
+    return language.identify(table(spark, sf, "pages"), model)

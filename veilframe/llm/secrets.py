@@ -28,8 +28,8 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST = 12.0  # natural-log odds below which no run is reported
 QUANTILE = 0.9999  # of the ordinary samples' scores, another lower bound
-TRAIN_DOCS = 2_000
-RANDOM_SAMPLES = 20_000
+TRAIN_DOCS = 400
+RANDOM_SAMPLES = 6_000
 
 
 def matches(text: Column, pattern: str, group: int, least: int) -> Column:
