@@ -7,8 +7,9 @@ least squares between expected and wanted tokens, each domain measured against i
 document against its length, under which a step of one never overshoots; rates stay between zero and
 ``most``. A step needs one number per domain from all documents, added up by Spark. Rates become whole copies by a hash.
 
-Tokens are the words of the text (runs of letters and digits). The word model is fitted on at most about
-``train_rows`` labelled documents, chosen by a hash of the id; everything else covers all rows.
+Tokens are the words of the text (runs of letters and digits); the model looks at which words a text has,
+not how often. It is fitted on at most about ``train_rows`` labelled documents, chosen by a hash of the
+id; everything else covers all rows.
 
 Defined results: a NULL text counts as empty, has one token (so that it has a rate) and the domains'
 shares among labels as probabilities; NULL labels and ids teach nothing; a domain that no text belongs to leaves
@@ -30,12 +31,13 @@ STEPS = 60
 CLOSE = 1e-4  # of all tokens
 MOST = 4.0
 FEW = 0.001  # of all tokens: a smaller domain is measured as if it had so many
-PULL = 200  # words with which a bucket's share in a domain is drawn to its share in all
+PULL = 5  # words with which a bucket's count in a domain is drawn to what its count in all lets expect
+SURE = 4.0  # standard deviations by which a count must differ from the expected one to be evidence
 LENGTH = 100  # words from which the evidence of further ones counts by the square root
 
 
-def hashed_words(text: Column) -> Column:
-    return F.explode(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+def words_of(text: Column) -> Column:
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def bucket(word: Column) -> Column:
@@ -49,7 +51,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, float]]:
-    """(bucket, w_0, w_1, ...): the log of a bucket's share in each domain against its share in all; and the domains' shares."""
+    """(bucket, w_0, w_1, ...): the log of how often a domain has a bucket's words against what is expected; and the domains' shares."""
     known = labelled.select(column(id_col).cast("bigint").alias("id"), column("domain").alias("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(domains))
     rows = known.count()
     if rows > train_rows:
@@ -58,15 +60,20 @@ def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     texts = keyed(docs, id_col, text_col).join(F.broadcast(known), "id")
     of = {d: F.col("domain") == d for d in domains}
     sizes = known.groupBy("domain").count().collect()  # one row a domain
-    counts = texts.select("domain", hashed_words(F.col("text")).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
+    counts = texts.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
         *[F.count(F.when(of[d], 1)).alias(f"n_{k}") for k, d in enumerate(domains)]
     )
     counts = saved(counts, "word-counts")
     totals = counts.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)) for k in range(len(domains))]).first()
     everything = sum(totals)
     n = [F.coalesce(f"n_{k}", F.lit(0)) for k in range(len(domains))]
-    share = (sum(n, F.lit(0)) + 1) / (everything + BUCKETS)
-    weights = [F.log((n[k] + PULL * share) / (share * (totals[k] + PULL))).alias(f"w_{k}") for k in range(len(domains))]
+    expected = [sum(n, F.lit(0)) * (t / max(everything, 1)) for t in totals]
+
+    def weight(k: int) -> Column:
+        clear = F.abs(n[k] - expected[k]) > SURE * F.sqrt(expected[k] + 1)
+        return F.when(clear, F.log((n[k] + PULL) / (expected[k] + PULL))).otherwise(0.0).alias(f"w_{k}")
+
+    weights = [weight(k) for k in range(len(domains))]
     every = counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     found = {r["domain"]: r["count"] for r in sizes}
     shares = {d: (found.get(d, 0) + 1) / (sum(found.values()) + len(domains)) for d in domains}
@@ -76,12 +83,15 @@ def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
 def memberships(docs: DataFrame, model: DataFrame, shares: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, sha, tokens, p_0, p_1, ...): one row per input row. Words are weighed and added up where they are read."""
     rows = keyed(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    word = rows.select("row", "id", "sha", hashed_words(F.col("text")).alias("word")).withColumn("bucket", bucket(F.col("word")))
+    split = rows.select("row", "id", "sha", words_of(F.col("text")).alias("ws"))
+    # counted before the words are dealt out, not once more for each of them
+    split = split.withColumn("n", F.size("ws") - F.size(F.filter("ws", lambda w: w == "")))
+    word = split.select("row", "id", "sha", "n", F.explode(F.array_distinct("ws")).alias("word")).withColumn("bucket", bucket(F.col("word")))
     k = range(len(shares))
     real = F.col("word") != ""
-    # BUCKETS rows
-    sums = word.join(F.broadcast(model), "bucket").groupBy("row", "id", "sha").agg(
-        F.count(F.when(real, 1)).alias("n"), *[F.coalesce(F.sum(F.when(real, F.col(f"w_{i}"))), F.lit(0.0)).alias(f"s_{i}") for i in k]
+    # the model has BUCKETS rows
+    sums = word.join(F.broadcast(model), "bucket").groupBy("row", "id", "sha", "n").agg(
+        *[F.coalesce(F.sum(F.when(real, F.col(f"w_{i}"))), F.lit(0.0)).alias(f"s_{i}") for i in k]
     )
     dampened = F.when(F.col("n") > LENGTH, F.sqrt(LENGTH / F.col("n"))).otherwise(1.0)
     logs = sums.select("id", "sha", F.greatest("n", F.lit(1)).alias("tokens"), *[(F.col(f"s_{i}") * dampened + log(p)).alias(f"l_{i}") for i, p in enumerate(shares.values())])
