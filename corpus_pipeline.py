@@ -6,8 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilframe.llm import mixing, quality
 from veilframe.llm.common import saved, table
 from veilframe.llm.exact_dedup import exact_dedup
+from veilframe.llm.near_dedup import near_dedup
+from veilframe.llm.packing import pack
+from veilframe.llm.queries import domains_of
+
+# Shares of tokens that the corpus is mixed to; the labelled table names the domains.
+TARGETS = {"clean": 0.97, "toxic": 0.03, "low": 0.0}
+
+
+def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that the discriminant, fitted on the labelled rows among them, finds good stay."""
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,8 +27,28 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep="largest")
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each class of near duplicates stays."""
+    return near_dedup(docs)
+
+
+def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as their domains are wanted: clean ones at least once, since their share goes up."""
+    mixed = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    return mixing.apply_mix(docs, mixed)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 1024 tokens."""
+    return pack(docs)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", reject_low_quality),
     ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("mixing", mix_domains),
+    ("packing", pack_sequences),
 ]
 
 # Learned models and iterative fits are not SQL; tests compare the stages with brute force instead.
