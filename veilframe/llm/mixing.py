@@ -7,8 +7,8 @@ least squares between expected and wanted tokens, each domain measured against i
 document against its length, under which a step of one never overshoots; rates stay between zero and
 ``most``. A step needs one number per domain from all documents, added up by Spark. Rates become whole copies by a hash.
 
-Tokens are the words of the text (runs of letters and digits); the model looks at which words a text has,
-not how often. It is fitted on at most about ``train_rows`` labelled documents, chosen by a hash of the
+Tokens are the words of the text, split at white space; the model looks at which words a text has, with
+their case and marks, not how often. It is fitted on at most about ``train_rows`` labelled documents, chosen by a hash of the
 id; everything else covers all rows.
 
 Defined results: a NULL text counts as empty, has one token (so that it has a rate) and the domains'
@@ -25,19 +25,19 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import column, saved, small
 
-BUCKETS = 1 << 14  # words are counted by a hash of so many values
+BUCKETS = 1 << 17  # words are counted by a hash of so many values
 TRAIN_ROWS = 20_000
 STEPS = 60
 CLOSE = 1e-4  # of all tokens
 MOST = 4.0
 FEW = 0.001  # of all tokens: a smaller domain is measured as if it had so many
 PULL = 5  # words with which a bucket's count in a domain is drawn to what its count in all lets expect
-SURE = 4.0  # standard deviations by which a count must differ from the expected one to be evidence
-LENGTH = 100  # words from which the evidence of further ones counts by the square root
+SURE = 6.0  # standard deviations by which a count must differ from the expected one to be evidence
+LENGTH = 400  # words from which the evidence of further ones counts by the square root
 
 
 def words_of(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.split(text, r"\s+")
 
 
 def bucket(word: Column) -> Column:
@@ -51,13 +51,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> tuple[DataFrame, dict[str, float]]:
-    """(bucket, w_0, w_1, ...): the log of how often a domain has a bucket's words against what is expected; and the domains' shares."""
+    """(bucket, w_0, w_1, ...) of the buckets that tell domains apart: the log of how often a domain has a bucket's words against what is expected; and the domains' shares."""
     known = labelled.select(column(id_col).cast("bigint").alias("id"), column("domain").alias("domain")).where(F.col("id").isNotNull() & F.col("domain").isin(domains))
     rows = known.count()
     if rows > train_rows:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * train_rows / rows))
     # at most about train_rows ids
-    texts = keyed(docs, id_col, text_col).join(F.broadcast(known), "id")
+    texts = keyed(docs, id_col, text_col).join(F.broadcast(known), "id").dropDuplicates(["domain", "sha"])
     of = {d: F.col("domain") == d for d in domains}
     sizes = known.groupBy("domain").count().collect()  # one row a domain
     counts = texts.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
@@ -66,7 +66,7 @@ def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     counts = saved(counts, "word-counts")
     totals = counts.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)) for k in range(len(domains))]).first()
     everything = sum(totals)
-    n = [F.coalesce(f"n_{k}", F.lit(0)) for k in range(len(domains))]
+    n = [F.col(f"n_{k}") for k in range(len(domains))]
     expected = [sum(n, F.lit(0)) * (t / max(everything, 1)) for t in totals]
 
     def weight(k: int) -> Column:
@@ -74,10 +74,10 @@ def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
         return F.when(clear, F.log((n[k] + PULL) / (expected[k] + PULL))).otherwise(0.0).alias(f"w_{k}")
 
     weights = [weight(k) for k in range(len(domains))]
-    every = counts.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("bucket"))
     found = {r["domain"]: r["count"] for r in sizes}
     shares = {d: (found.get(d, 0) + 1) / (sum(found.values()) + len(domains)) for d in domains}
-    return saved(every.join(counts, "bucket", "left").select("bucket", *weights), "word-weights"), shares
+    telling = counts.select("bucket", *weights).where(" or ".join(f"w_{k} <> 0" for k in range(len(domains))))
+    return saved(telling, "word-weights"), shares
 
 
 def memberships(docs: DataFrame, model: DataFrame, shares: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -89,8 +89,8 @@ def memberships(docs: DataFrame, model: DataFrame, shares: dict[str, float], id_
     word = split.select("row", "id", "sha", "n", F.explode(F.array_distinct("ws")).alias("word")).withColumn("bucket", bucket(F.col("word")))
     k = range(len(shares))
     real = F.col("word") != ""
-    # the model has BUCKETS rows
-    sums = word.join(F.broadcast(model), "bucket").groupBy("row", "id", "sha", "n").agg(
+    # the model has at most BUCKETS rows
+    sums = word.join(F.broadcast(model), "bucket", "left").groupBy("row", "id", "sha", "n").agg(
         *[F.coalesce(F.sum(F.when(real, F.col(f"w_{i}"))), F.lit(0.0)).alias(f"s_{i}") for i in k]
     )
     dampened = F.when(F.col("n") > LENGTH, F.sqrt(LENGTH / F.col("n"))).otherwise(1.0)
