@@ -10,9 +10,9 @@ Jaccard similarity.
 Signatures are cut into bands. Texts that share a band are candidates; pairs are checked on their whole
 texts. First every text is compared with its bucket's first text, and verified links make components.
 Then buckets that still hold two or more components compare what lies in different ones, in blocks of
-bounded size, by signatures inside a task: only pairs that may reach the threshold leave it, once each,
-and are checked exactly. So a bucket of thousands of close copies costs one comparison each, and no
-link between different components is lost.
+bounded size: pairs whose signatures may reach the threshold are checked exactly inside the task, each in
+the first bucket that both share, and only links leave it. So most of a bucket of thousands of close
+copies costs one comparison each, no list of pairs is made, and no link between different components is lost.
 
 Words are lower-cased and split at ASCII white space; a text of fewer than five words is one shingle; a
 text without words is only ever like texts equal to it. Equal texts are one node.
@@ -42,7 +42,7 @@ BANDS, ROWS = 36, 6  # a pair at 0.8 shares no band once in 55,000
 PLACES = BANDS * ROWS
 # Agreeing places below which a pair at 0.8 falls once in a million: mean less 4.75 standard deviations.
 LEAST = int(SIMILARITY * PLACES - 4.75 * np.sqrt(PLACES * SIMILARITY * (1 - SIMILARITY)))
-BLOCK = 2048  # texts of a bucket in one block
+BLOCK = 1024  # texts of a bucket in one block
 WORD_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -90,22 +90,30 @@ def signatures(n: int, text: np.ndarray, shingle: np.ndarray, count: np.ndarray)
     return holder.reshape(n, PLACES)
 
 
-@lru_cache(maxsize=128)
-def weighed(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The weighted set of one text: its distinct shingles in order, and their counts."""
+def weigh(text: str) -> tuple[np.ndarray, np.ndarray, frozenset | None]:
+    """The weighted set of one text: its distinct shingles in order, their counts, and the plain set if all count once."""
     _, shingle, count = shingles(pa.array([text], pa.string()))
-    return shingle, count
+    return shingle, count, frozenset(shingle.tolist()) if (count == 1).all() else None
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """The probability Jaccard similarity of two weighted sets, each (sorted elements, weights)."""
+remembered = lru_cache(maxsize=4096)(weigh)
+
+
+def weighed(text: str) -> tuple[np.ndarray, np.ndarray, frozenset | None]:
+    """What ``weigh`` gives, kept for texts of ordinary length."""
+    return remembered(text) if len(text) < 1 << 13 else weigh(text)
+
+
+def similarity(a: tuple[np.ndarray, np.ndarray, frozenset | None], b: tuple[np.ndarray, np.ndarray, frozenset | None]) -> float:
+    """The probability Jaccard similarity of two weighted sets; of plain ones it is Jaccard similarity."""
+    if a[2] is not None and b[2] is not None:
+        shared = len(a[2] & b[2])
+        return shared / max(len(a[2]) + len(b[2]) - shared, 1)
     common, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
     if not len(common):
         return 0.0
     x, y = a[1][i].astype(float), b[1][j].astype(float)
     only_x, only_y = a[1].sum() - x.sum(), b[1].sum() - y.sum()
-    if (x == 1).all() and (y == 1).all():
-        return len(common) / (len(common) + only_x + only_y)
     # 1 / sum over all elements e of max(x_e / x_i, y_e / y_i), with elements by the ratio of their weights
     ratio = x / y
     order = np.argsort(ratio)
@@ -169,11 +177,11 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
-def left_pairs(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(a, b): pairs of one bucket in different components whose signatures may reach the threshold, each once.
+def left_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between texts of one bucket that were in different components.
 
     ``buckets`` are (key, node, part). Members are dealt to blocks by a hash, so many that a block holds
-    about BLOCK; each pair of blocks is one group.
+    about BLOCK; each pair of blocks is one group. A text needs one link into each other component.
     """
     mixed = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts")).where(F.col("parts") > 1)
     mixed = saved(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
@@ -182,40 +190,48 @@ def left_pairs(buckets: DataFrame, sketches: DataFrame) -> DataFrame:
     dealt = members.select("key", "node", "part", "mine", other.alias("other")).select(
         "key", "node", "part", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
     )
-    rows = dealt.join(sketches.select("node", "bands", "signature"), "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    rows = dealt.join(sketches.select("node", "bands", "signature"), "node").join(texts, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
-    def compared(key: int, low: int, high: int, group: list[tuple]) -> tuple[list[int], list[int]]:
+    def compared(key: int, low: int, high: int, group: list[tuple]) -> list[tuple[int, int]]:
         nodes, parts, mine = (np.array([g[i] for g in group]) for i in (0, 1, 2))
         bands = np.array([g[3] for g in group], np.int64)
         marks = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), PLACES)
         values, sizes = np.unique(parts, return_counts=True)
         home = values[sizes.argmax()]  # the largest component is compared with the others only from their side
-        a, b = [], []
+        links = []
         for i in np.flatnonzero(parts != home):
-            likely = (marks == marks[i]).sum(1) >= LEAST
-            likely &= (parts != parts[i]) & ((parts == home) | (nodes > nodes[i])) & ((low == high) | (mine != mine[i]))
-            for j in np.flatnonzero(likely):
+            agreeing = (marks == marks[i]).sum(1)
+            likely = (agreeing >= LEAST) & (parts != parts[i]) & ((parts == home) | (nodes > nodes[i])) & ((low == high) | (mine != mine[i]))
+            joined = set()
+            for j in sorted(np.flatnonzero(likely), key=lambda j: -agreeing[j]):
                 shared = bands[i] == bands[j]
-                if bands[i][shared.argmax()] == key:  # only in the first bucket that both share
-                    a.append(int(min(nodes[i], nodes[j])))
-                    b.append(int(max(nodes[i], nodes[j])))
-        return a, b
+                if parts[j] in joined or bands[i][shared.argmax()] != key:  # only in the first bucket that both share
+                    continue
+                if similarity(weighed(group[i][5]), weighed(group[j][5])) >= threshold:
+                    joined.add(parts[j])
+                    links.append((int(nodes[i]), int(nodes[j])))
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, group = None, []
+
+        def out() -> pa.RecordBatch:
+            links = compared(*now, group) if len(group) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             cols = batch.to_pydict()
             for i in range(batch.num_rows):
                 at = (cols["key"][i], cols["low"][i], cols["high"][i])
                 if at != now:
-                    if len(group) > 1:
-                        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compared(*now, group)], names=["a", "b"])
+                    if now is not None:
+                        yield out()
                     now, group = at, []
-                group.append((cols["node"][i], cols["part"][i], cols["mine"][i], cols["bands"][i], cols["signature"][i]))
-        if len(group) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in compared(*now, group)], names=["a", "b"])
+                group.append(tuple(cols[c][i] for c in ("node", "part", "mine", "bands", "signature", "text")))
+        if now is not None:
+            yield out()
 
-    return rows.select("key", "low", "high", "node", "part", "mine", "bands", "signature").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("key", "low", "high", "node", "part", "mine", "bands", "signature", "text").mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
@@ -238,7 +254,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = saved(verified(stars, texts, threshold).select("a", "b"), "links")
     parts = components(links)
     buckets = members.join(parts.select("node", "root"), "node", "left").select("key", "node", F.coalesce("root", "node").alias("part"))
-    more = saved(verified(left_pairs(saved(buckets, "bucket-parts"), sketches), texts, threshold).select("a", "b"), "links")
+    more = saved(left_links(saved(buckets, "bucket-parts"), sketches, texts, threshold), "links")
     if not more.isEmpty():
         parts = components(links.union(more))
     discard(texts, sketches, stars)
