@@ -28,6 +28,7 @@ RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST = 12.0  # natural-log odds below which no run is reported
 QUANTILE = 0.9999  # of the ordinary samples' scores, another lower bound
+DRAWN = 20.0  # pairs with which what follows a character is drawn to that
 TRAIN_DOCS = 400
 RANDOM_SAMPLES = 6_000
 
@@ -57,7 +58,8 @@ def pairs_of(word: Column) -> Column:
 def markov_ratios(samples: DataFrame) -> DataFrame | None:
     """(pair, ratio) for every pair of the alphabet: the log of how much likelier random strings go on like that.
 
-    ``samples`` are (text, random boolean). Counts start at a half for each pair. None without samples of both kinds.
+    ``samples`` are (text, random boolean). What follows a character is drawn to how often characters come at
+    all. None without samples of both kinds.
     """
     spark = samples.sparkSession
     letters = spark.range(len(ALPHABET)).select(F.substring(F.lit(ALPHABET), (F.col("id") + 1).cast("int"), F.lit(1)).alias("c"))
@@ -69,10 +71,18 @@ def markov_ratios(samples: DataFrame) -> DataFrame | None:
     if not totals[0] or not totals[1]:
         return None
     # the square of the alphabet
-    grid = letters.select(F.col("c").alias("first"), F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))), lambda i: F.concat("c", F.substring(F.lit(ALPHABET), i, F.lit(1))))).alias("pair"))
-    grid = grid.join(counted, "pair", "left").select("first", "pair", *[(F.coalesce(n, F.lit(0)) + 0.5).alias(n) for n in ("r", "o")])
-    sums = grid.groupBy("first").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
-    return saved(grid.join(sums, "first").select("pair", (F.log(F.col("r") / F.col("rs")) - F.log(F.col("o") / F.col("os"))).alias("ratio")), "markov")
+    second = F.transform(F.sequence(F.lit(1), F.lit(len(ALPHABET))), lambda i: F.substring(F.lit(ALPHABET), i, F.lit(1)))
+    grid = letters.select(F.col("c").alias("first"), F.explode(second).alias("second")).withColumn("pair", F.concat("first", "second"))
+    grid = grid.join(counted, "pair", "left").select("first", "second", "pair", *[F.coalesce(n, F.lit(0)).alias(n) for n in ("r", "o")])
+    firsts = grid.groupBy("first").agg(F.sum("r").alias("rf"), F.sum("o").alias("of"))
+    seconds = grid.groupBy("second").agg(F.sum("r").alias("rs"), F.sum("o").alias("os"))
+
+    def likely(n: str, follows: str, comes: str, total: int) -> Column:
+        alone = (F.col(comes) + 0.5) / (total + 0.5 * len(ALPHABET))
+        return F.log((F.col(n) + DRAWN * alone) / (F.col(follows) + DRAWN))
+
+    ratio = likely("r", "rf", "rs", totals[0]) - likely("o", "of", "os", totals[1])
+    return saved(grid.join(firsts, "first").join(seconds, "second").select("pair", ratio.alias("ratio")), "markov")
 
 
 def scored(runs: DataFrame, ratios: DataFrame, *keys: str) -> DataFrame:
