@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,13 @@ _LOCAL_SCRATCH: list[str] = []
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in a local test, a temporary folder of this machine is used.
+    Only where that is unset and one process does all the work, as in a local test, a temporary
+    folder of this machine is used; executors elsewhere would not see it.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _LOCAL_SCRATCH:
             _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="veilframe-"))
         shared = _LOCAL_SCRATCH[0]
