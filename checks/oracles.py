@@ -375,14 +375,19 @@ oracle(
 )
 CTES["asked"] = "SELECT *, body AS key, row_number() OVER (PARTITION BY body ORDER BY id) AS k FROM bus_messages WHERE sender = 'test'"
 CTES["echoed"] = f"SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS k FROM (SELECT *, {_ECHO} AS key FROM bus_messages WHERE sender = 'prod') t"
+CTES["bus_events"] = "SELECT id, key, 1 AS step FROM asked UNION ALL SELECT id, key, -1 FROM echoed"
+CTES["bus_balance"] = "SELECT *, sum(step) OVER (PARTITION BY key ORDER BY id) AS open FROM bus_events"
+CTES["bus_lowest"] = "SELECT *, min(open) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lowest FROM bus_balance"
+CTES["answering"] = """SELECT e.*, row_number() OVER (PARTITION BY e.key ORDER BY e.id) AS nth FROM echoed e JOIN bus_lowest l ON e.id = l.id
+    WHERE NOT (l.open < least(coalesce(l.lowest, 0), 0))"""
 oracle(
     "J8_pair_requests",
     """SELECT q.id AS request_id, a.id AS reply_id, epoch_us(q.consumed_at - q.created_at) // 1000 AS pick_up_ms, epoch_us(a.created_at - q.created_at) // 1000 AS round_trip_ms
-    FROM asked q LEFT JOIN echoed a ON a.key = q.key AND a.k = q.k AND a.id > q.id""",
+    FROM asked q LEFT JOIN answering a ON a.key = q.key AND a.nth = q.k""",
 )
 oracle(
     "T4_stream_pairing",
-    """SELECT q.id AS request_id, a.id AS reply_id FROM asked q LEFT JOIN echoed a ON a.key = q.key
+    """SELECT q.id AS request_id, a.id AS reply_id FROM asked q LEFT JOIN answering a ON a.key = q.key AND a.nth = q.k
     AND a.created_at BETWEEN q.created_at AND q.created_at + INTERVAL 180 SECOND""",
 )
 oracle(

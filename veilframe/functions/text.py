@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from veilframe.functions.masks import JS_WHITESPACE
+
 # Shapes of raw identifiers, unanchored, as the leak check defines them.
 SSN_SHAPE = "[0-9]{3}-[0-9]{2}-[0-9]{4}"
 CARD_SHAPE = "[0-9]{16}"
@@ -173,5 +175,5 @@ def message_parts(message: Column, kind: str) -> Column:
         return F.coalesce(F.try_variant_get(p, "$.thinking", "string"), plain)
 
     values = F.transform(F.filter(content, own), value)
-    kept = F.filter(values, lambda s: F.length(F.trim(F.regexp_replace(s, r"\s+", " "))) > 0)
+    kept = F.filter(values, lambda s: F.length(F.regexp_replace(s, f"[{JS_WHITESPACE}]+", "")) > 0)
     return F.coalesce(kept, F.array().cast("array<string>"))

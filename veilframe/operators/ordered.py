@@ -34,14 +34,14 @@ def ordered_scan(
     hot_rows: int = HOT_ROWS,
     bits: int = BITS,
 ) -> DataFrame:
-    """Add ``out``: the running sum, or the latest non-NULL, of ``value`` along ``order``.
+    """Add ``out``: the running sum or minimum, or the latest non-NULL, of ``value`` along ``order``.
 
     ``order`` is a non-negative bigint column, ``keys`` are non-NULL columns. ``inclusive`` counts
     the row itself. ``tie`` orders rows that share an order value. With keys, the list of hot keys
     is written to the scratch folder: at most one key per ``hot_rows`` rows, usually none.
     """
-    if kind not in ("sum", "last"):
-        raise ValueError("kind must be sum or last")
+    if kind not in ("sum", "last", "min"):
+        raise ValueError("kind must be sum, last or min")
     keys = list(keys)
     rows = df.withColumn("_v", value)
     by = [F.col(order)]
@@ -54,15 +54,21 @@ def ordered_scan(
         window = window.rowsBetween(Window.unboundedPreceding, end)
         if kind == "sum":
             return F.coalesce(F.sum(v).over(window), F.lit(0))
+        if kind == "min":
+            return F.min(v).over(window)
         return F.last(v, ignorenulls=True).over(window)
 
     def combine(near: str, far: str) -> Column:
         if kind == "sum":
             return F.col(near) + F.coalesce(far, F.lit(0))
+        if kind == "min":
+            return F.least(near, far)
         return F.coalesce(near, far)
 
     def summary(frame: DataFrame, group: list[str], along: Column) -> DataFrame:
-        total = F.sum("_v") if kind == "sum" else F.max_by("_v", F.when(F.col("_v").isNotNull(), along))
+        total = F.max_by("_v", F.when(F.col("_v").isNotNull(), along))
+        if kind != "last":
+            total = F.sum("_v") if kind == "sum" else F.min("_v")
         return frame.groupBy(*group).agg(total.alias("_v"))
 
     if keys:

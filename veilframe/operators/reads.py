@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.functions.masks import mask_table
+from veilframe.functions.masks import JS_WHITESPACE, mask_table
 from veilframe.functions.text import REQUEST_KEYS
 from veilframe.registry import ENTITY_ORDER, entity as lookup
 
@@ -82,8 +82,21 @@ def query_local(df: DataFrame, entity: str, limit: int | None = None) -> DataFra
     return first_n_by_id(df.select(*lookup(entity).columns), _clamped(limit, MAX_LOCAL_ROWS))
 
 
-# A non-negative whole number as JSON or text may carry it; its digits are the first group.
-WHOLE_NUMBER = r"^\s*[+]?([0-9]{1,18})([.]0*)?\s*$"
+# Non-negative whole numbers as JSON or text may carry them: plain digits, hexadecimal, or with an exponent.
+WHOLE_NUMBER = r"^[+]?0*([0-9]{1,19})([.]0*)?$"
+HEX_NUMBER = r"^0[xX]0*([0-9a-fA-F]{1,16})$"
+EXPONENT_NUMBER = r"^[+]?([0-9]+[.]?[0-9]*|[.][0-9]+)[eE][+-]?[0-9]{1,3}$"
+
+
+def whole_number(text: Column) -> Column:
+    """The number a text stands for, NULL where it is none, not whole, negative or beyond 64 bits."""
+    bare = F.regexp_replace(text, f"^[{JS_WHITESPACE}]+|[{JS_WHITESPACE}]+$", "")
+    scientific = F.when(bare.rlike(EXPONENT_NUMBER), bare).try_cast("decimal(38,18)")
+    return F.coalesce(
+        F.regexp_extract(bare, WHOLE_NUMBER, 1).try_cast("bigint"),
+        F.conv(F.nullif(F.regexp_extract(bare, HEX_NUMBER, 1), F.lit("")), 16, 10).try_cast("bigint"),
+        F.when(scientific == F.floor(scientific), scientific).try_cast("bigint"),
+    )
 
 
 def clean_request(requests: DataFrame, body: str = "body") -> DataFrame:
@@ -101,7 +114,7 @@ def clean_request(requests: DataFrame, body: str = "body") -> DataFrame:
         *requests.columns,
         F.when(name.isin(*ENTITY_ORDER), name).alias("entity"),
         *[raw[key].alias(f"_{key}") for key in REQUEST_KEYS],
-        *[F.regexp_extract(raw[key], WHOLE_NUMBER, 1).try_cast("bigint").alias(key) for key in REQUEST_KEYS],
+        *[whole_number(raw[key]).alias(key) for key in REQUEST_KEYS],
     )
     errors = [F.when(F.col("entity").isNull(), F.lit(f"entity must be one of {', '.join(ENTITY_ORDER)}"))]
     for key in REQUEST_KEYS:
@@ -127,18 +140,17 @@ def pending(messages: DataFrame, recipient: str) -> DataFrame:
 def next_unread(messages: DataFrame) -> DataFrame:
     """The oldest unread message of each recipient.
 
-    Ids first, bodies last: the reduction carries two narrow columns, and the few winning ids pick
-    their rows from the log.
+    One row per recipient and task crosses the shuffle; no other body does.
     """
     unread = messages.where(F.col("consumed_at").isNull())
-    oldest = unread.groupBy("recipient").agg(F.min("id").alias("id")).select("id")
-    return unread.join(oldest, "id", "left_semi")
+    oldest = unread.groupBy("recipient").agg(F.min_by(F.struct(*messages.columns), "id").alias("m"))
+    return oldest.select("m.*")
 
 
 def scrub_log_lines(lines: DataFrame, column: str = "line") -> DataFrame:
     """Drop blank lines and lines that show a raw sample."""
     text = F.col(column)
-    return lines.where((F.length(F.trim(F.regexp_replace(text, r"\s+", " "))) > 0) & ~text.rlike(RAW_SAMPLE))
+    return lines.where((F.length(F.regexp_replace(text, f"[{JS_WHITESPACE}]+", "")) > 0) & ~text.rlike(RAW_SAMPLE))
 
 
 def keep_last(df: DataFrame, n: int, order: str = "id") -> DataFrame:

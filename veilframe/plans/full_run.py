@@ -70,7 +70,7 @@ def full_run(
         return "raw side reseeded, masked side empty, log empty"
 
     def copy(round_no: int) -> str:
-        loaded = copy_paged(raw.read_all(), masked, max_pages, log=log, round_no=round_no)
+        loaded = copy_paged(raw.read_all(), masked, max_pages, log=log)
         rows = loaded.select(F.format_string("%s %d/%d", "entity", "inserted", "received").alias("t")).collect()
         return ", ".join(sorted(r["t"] for r in rows))
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.masks import mask_table
@@ -16,12 +18,11 @@ from veilframe.operators.loads import accepted, insert_if_absent, upsert
 from veilframe.operators.ordered import positions
 from veilframe.registry import ENTITY_ORDER, entity as lookup
 from veilframe.session import materialize, scratch_dir
-from veilframe.sources.messages import append_messages
+from veilframe.sources.messages import append_messages, read_messages
 from veilframe.sources.snapshots import SnapshotStore
 
-# Rows per page of a paged copy, and how many pages one run may take.
+# Rows per page of a paged copy.
 PAGE_ROWS = {"customers": 500, "addresses": 500, "accounts": 500, "cards": 500, "transactions": 30}
-MAX_PAGES = 200
 MAX_PER_PARENT = 500
 SALTS = 16
 
@@ -46,13 +47,15 @@ def slice_copy(raw: Mapping[str, DataFrame], customers: int = 5) -> dict[str, Da
     """The first customers and everything under them, masked.
 
     At most 500 customers, 500 addresses and accounts each, 500 cards and transactions per account:
-    both key sets that are broadcast have that bound (500 and 250,000 ids).
+    both key sets that are broadcast have that bound (500 and 250,000 ids). What children hang on is
+    written once, not worked out again for each of them.
     """
     n = min(max(customers, 1), 500)
-    out = {"customers": raw["customers"].orderBy("id").limit(n)}
+    out = {"customers": materialize(raw["customers"].orderBy("id").limit(n), "slice-customers")}
     chosen = F.broadcast(out["customers"].select(F.col("id").alias("customer_id")))
     for name in ("addresses", "accounts"):
         out[name] = top_n_per_parent(raw[name].join(chosen, "customer_id", "left_semi"), "customer_id")
+    out["accounts"] = materialize(out["accounts"], "slice-accounts")
     held = F.broadcast(out["accounts"].select(F.col("id").alias("account_id")))
     for name in ("cards", "transactions"):
         out[name] = top_n_per_parent(raw[name].join(held, "account_id", "left_semi"), "account_id")
@@ -95,7 +98,7 @@ def customer_account_card(tables: Mapping[str, DataFrame], n: int = 10) -> DataF
 
 
 def page_plan(
-    rows: DataFrame, entity: str, batch: int | None = None, since: int = 0, max_pages: int | None = MAX_PAGES
+    rows: DataFrame, entity: str, batch: int | None = None, since: int = 0, max_pages: int | None = None
 ) -> DataFrame:
     """The requests a paged copy makes: (page, since_id, page_rows, first_id, last_id, next_since_id).
 
@@ -181,41 +184,56 @@ def append_masked(rows: DataFrame, store: SnapshotStore, entity: str, order: str
     store.append(entity, insert_if_absent(rows, store.read(entity), entity, order))
 
 
-def page_requests(plan: DataFrame, entity: str, batch: int | None = None, round_no: int = 0) -> DataFrame:
-    """The request messages of a page plan. Ids are odd; the reply to each takes the next number."""
+def page_requests(plan: DataFrame, entity: str, batch: int | None = None, last_id: int = 0) -> DataFrame:
+    """The request messages of a page plan, from the even id ``last_id`` on. The reply to each takes the next number."""
     size = batch or PAGE_ROWS[entity]
     body = F.to_json(
         F.struct(F.lit(entity).alias("entity"), F.col("since_id"), F.lit(size).alias("limit"))
     )
-    block = (round_no * len(ENTITY_ORDER) + ENTITY_ORDER.index(entity)) << 40
     return plan.select(
-        (F.lit(block) + F.col("page") * 2 + 1).alias("id"),
+        (F.lit(last_id) + F.col("page") * 2 + 1).alias("id"),
         F.lit("test").alias("sender"), F.lit("prod").alias("recipient"), body.alias("body"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("consumed_at"),
     )
 
 
+def highest_id(spark: SparkSession, log: str) -> int:
+    """The highest id of a message log, made even; 0 where there is no log yet."""
+    try:
+        top = read_messages(spark, log).agg(F.max("id")).first()[0] or 0
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return 0
+    return top + top % 2
+
+
 def copy_paged(
     raw: Mapping[str, DataFrame],
     store: SnapshotStore,
-    max_pages: int | None = MAX_PAGES,
+    max_pages: int | None = None,
     log: str | None = None,
-    round_no: int = 0,
 ) -> DataFrame:
     """A delta copy through requests and replies, entity by entity: the load summary.
 
     All pages of an entity are asked for at once; each starts where the one before it ends. Requests
     and replies are written to the message log (``log``, or the scratch folder) before they are
-    loaded, and each entity is in the masked copy before its children come.
+    loaded, and each entity is in the masked copy before its children come. Message ids continue from
+    the log's highest. Under a cap on pages, a warning says which entities have more.
     """
     spark = store.spark
     path = log or scratch_dir(spark, "log")
+    last_id = highest_id(spark, path)
     decided: dict[str, DataFrame] = {}
     for name in ENTITY_ORDER:
         known = {e: store.read(e) for e in (name, lookup(name).parent) if e}
         since = watermark(known[name]).first()[0]
         plan = page_plan(raw[name], name, None, since, max_pages)
-        requests = materialize(page_requests(plan, name, None, round_no), f"requests-{name}")
+        requests = materialize(page_requests(plan, name, None, last_id), f"requests-{name}")
+        pages = requests.count()
+        last_id += 2 * pages
+        if max_pages is not None and pages >= max_pages and plan.where(F.col("page_rows") == PAGE_ROWS[name]).count() == pages:
+            warnings.warn(f"{name}: there may be more rows than {max_pages} pages hold", stacklevel=2)
         answers = answer_requests(requests, raw, kinds=[(name, False)])
         replies = materialize(
             reply_messages(answers, F.current_timestamp(), base=1).withColumn("consumed_at", F.current_timestamp()),
