@@ -7,21 +7,25 @@ a time limit.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
+from functools import reduce
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from veilframe.functions.masks import mask_table
 from veilframe.functions.text import canonical_json
 from veilframe.operators.audit import bus_aggregates, row_counts
-from veilframe.operators.bus import REPLY_ID_BASE, answer_requests, load_replies, reply_messages
-from veilframe.operators.loads import accepted, missing_parents
+from veilframe.operators.bus import REPLY_ID_BASE, answer_requests, load_replies, reply_messages, summarize_loads
+from veilframe.operators.loads import MISSING_PARENT, accepted, classify_load
 from veilframe.operators.traces import is_fault, trace_filter
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity as lookup
+from veilframe.session import materialize
 from veilframe.sources.messages import append_messages, normalise_messages
 from veilframe.sources.snapshots import SnapshotStore
 from veilframe.sources.traces import parse_trace
@@ -33,6 +37,10 @@ MAX_INTERVAL = 3600
 REPLY_TIMEOUT = 180
 
 
+# The tables to answer from, or a function that opens them anew for each batch.
+Tables = Mapping[str, DataFrame] | Callable[[], Mapping[str, DataFrame]]
+
+
 def _triggered(writer: DataStreamWriter, interval: int | None) -> DataStreamWriter:
     """Every ``interval`` seconds, clamped; None takes what is there and stops."""
     if interval is None:
@@ -48,24 +56,36 @@ def _start(
     return _triggered(writer, interval).start()
 
 
-def copy_batch(batch: DataFrame, entity: str, store: SnapshotStore) -> None:
-    """Append the rows of a batch that the masked copy lacks and whose parent it has."""
+def within(rows: DataFrame, batch: DataFrame, key: str, of: str = "id") -> DataFrame:
+    """The rows whose ``of`` lies in the range of the batch's keys: the bound prunes files, however long the history."""
+    low, high = batch.agg(F.min(key), F.max(key)).first()
+    return rows.where(F.col(of).between(low, high)) if low is not None else rows.limit(0)
+
+
+def copy_batch(batch: DataFrame, entity: str, store: SnapshotStore, rejects: str | None = None, batch_id: int = 0) -> None:
+    """Append the rows of a batch that the masked copy lacks, that keep its rules and whose parent it has.
+
+    Of rows that share an id the first that may be loaded stays. What is skipped goes, with its
+    reason, to ``rejects``; a replayed batch writes its own folder there again.
+    """
     ent = lookup(entity)
-    rows = mask_table(batch.select(*ent.columns), entity).dropDuplicates(["id"])
-    present = store.read(entity).select("id")
-    fresh = rows.join(present, "id", "left_anti")
-    if ent.parent is not None:
-        parents = store.read(ent.parent)
-        lost = missing_parents(rows, parents, ent.parent_key).withColumnRenamed("id", ent.parent_key)
-        fresh = fresh.join(lost, ent.parent_key, "left_anti")
-    store.append(entity, fresh)
+    store.refresh()
+    rows = mask_table(batch.select(*ent.columns), entity).withColumn("_arrival", F.monotonically_increasing_id())
+    rows = materialize(rows, "stream-rows")
+    parents = within(store.read(ent.parent), rows, ent.parent_key) if ent.parent else None
+    decided = materialize(classify_load(rows, within(store.read(entity), rows, "id"), entity, "_arrival", parents), "stream-load")
+    store.append(entity, accepted(decided, entity))
+    if rejects:
+        skipped = decided.where(F.col("outcome") == "skipped").select(*ent.columns, "reason")
+        skipped.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
 
 def stream_masked_copy(
-    stream: DataFrame, entity: str, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL
+    stream: DataFrame, entity: str, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL,
+    rejects: str | None = None,
 ) -> StreamingQuery:
     """Continuous masked append of an entity's new rows."""
-    return _start(stream, lambda batch, _: copy_batch(batch, entity, store), checkpoint, interval)
+    return _start(stream, lambda batch, n: copy_batch(batch, entity, store, rejects, n), checkpoint, interval)
 
 
 def _existing_messages(batch: DataFrame, path: str) -> DataFrame:
@@ -79,61 +99,101 @@ def _existing_messages(batch: DataFrame, path: str) -> DataFrame:
 
 
 def answer_batch(
-    batch: DataFrame, tables: Mapping[str, DataFrame], replies: str, recipient: str = "prod"
+    batch: DataFrame, tables: Tables, replies: str, recipient: str = "prod"
 ) -> None:
-    """Answer the requests of a batch once each. The reply's id follows from the request's."""
-    requests = batch.where(F.col("recipient") == recipient)
-    answered = _existing_messages(batch, replies).select((F.col("id") - REPLY_ID_BASE).alias("id"))
-    fresh = normalise_messages(requests).join(answered, "id", "left_anti")
-    answers = answer_requests(fresh, tables)
+    """Answer the requests of a batch once each, also one that was delivered twice.
+
+    The reply's id follows from the request's. ``tables``, where it is a function, is called for each
+    batch, so that rows written since the stream began are found.
+    """
+    requests = normalise_messages(batch.where(F.col("recipient") == recipient)).dropDuplicates(["id"])
+    requests = materialize(requests, "stream-requests")
+    written = within(_existing_messages(batch, replies), requests.select((F.col("id") + REPLY_ID_BASE).alias("id")), "id")
+    fresh = requests.join(written.select((F.col("id") - REPLY_ID_BASE).alias("id")), "id", "left_anti")
+    answers = answer_requests(fresh, tables() if callable(tables) else tables)
     append_messages(reply_messages(answers, F.current_timestamp()), replies)
 
 
 def stream_answer(
-    messages: DataFrame, tables: Mapping[str, DataFrame], replies: str, checkpoint: str,
+    messages: DataFrame, tables: Tables, replies: str, checkpoint: str,
     interval: int | None = DEFAULT_INTERVAL,
 ) -> StreamingQuery:
     """The producer: every request addressed to it gets one masked reply."""
     return _start(messages, lambda batch, _: answer_batch(batch, tables, replies), checkpoint, interval)
 
 
-def load_batch(batch: DataFrame, store: SnapshotStore) -> None:
-    """Load the ok replies of a batch, parents first."""
-    decided = load_replies(normalise_messages(batch.where(F.col("sender") == "prod")), store.read_all())
+def load_batch(batch: DataFrame, store: SnapshotStore, log: str | None = None, batch_id: int = 0) -> None:
+    """Load the ok replies of a batch, parents first.
+
+    With a ``log`` folder, each batch leaves there what became of every reply (``report``), and the replies
+    with a child whose parent has not come yet (``waiting``), which the next batch tries again: rows
+    that are there by then only count as conflicts.
+    """
+    store.refresh()
+    replies = normalise_messages(batch.where(F.col("sender") == "prod"))
+    if log and batch_id:
+        replies = replies.unionByName(_existing_messages(batch, f"{log}/waiting/batch={batch_id - 1}")).dropDuplicates(["id"])
+    replies = materialize(replies, "stream-replies")
+    decided = load_replies(replies, store.read_all())
     for name in ENTITY_ORDER:
         store.append(name, accepted(decided[name], name))
+    if log:
+        summarize_loads(decided, "reply_id").write.mode("overwrite").parquet(f"{log}/report/batch={batch_id}")
+        early = [d.where(F.col("reason") == MISSING_PARENT).select(F.col("reply_id").alias("id")) for d in decided.values()]
+        again = replies.join(reduce(DataFrame.unionByName, early).distinct(), "id", "left_semi").select(*replies.columns)
+        again.write.mode("overwrite").parquet(f"{log}/waiting/batch={batch_id}")
 
 
 def stream_load(
-    messages: DataFrame, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL
+    messages: DataFrame, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL, log: str | None = None
 ) -> StreamingQuery:
     """The consumer: replies become rows of the masked copy. Late replies count like any other."""
-    return _start(messages, lambda batch, _: load_batch(batch, store), checkpoint, interval)
+    return _start(messages, lambda batch, n: load_batch(batch, store, log, n), checkpoint, interval)
+
+
+def pair_open(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Give each echo of one key to the oldest request still open; let go of requests whose time is over.
+
+    The state is the open requests of the key, in order, as (id, milliseconds at which it stops waiting).
+    """
+    waiting = list(zip(*state.get, strict=True)) if state.exists else []
+    out: list[tuple[int, int | None]] = []
+    if not state.hasTimedOut:
+        rows = pd.concat(list(events)).sort_values(["at_ms", "id"])
+        for is_request, number, at, wait in zip(rows["is_request"], rows["id"], rows["at_ms"], rows["wait_ms"], strict=True):
+            if is_request:
+                waiting.append((int(number), int(at + wait)))
+                continue
+            while waiting and waiting[0][1] < at:
+                out.append((waiting.pop(0)[0], None))
+            if waiting:
+                out.append((waiting.pop(0)[0], int(number)))
+    past = state.getCurrentWatermarkMs()
+    while waiting and waiting[0][1] < past:
+        out.append((waiting.pop(0)[0], None))
+    if waiting:
+        state.update(([w[0] for w in waiting], [w[1] for w in waiting]))
+        state.setTimeoutTimestamp(max(waiting[0][1], past) + 1)
+    elif state.exists:
+        state.remove()
+    if out:
+        yield pd.DataFrame({"request_id": pd.array([o[0] for o in out], "Int64"), "reply_id": pd.array([o[1] for o in out], "Int64")})
 
 
 def paired_stream(messages: DataFrame, timeout: int = REPLY_TIMEOUT, lateness: str = "1 minute") -> DataFrame:
-    """Requests with the reply that came within the timeout, or NULL once it is over.
+    """Each request once: with the reply that came within the timeout, or with NULL once it is over.
 
-    An outer interval join: state is dropped when both watermarks have passed the timeout.
+    Requests and echoes meet under the digest of their canonical JSON. Among identical ones the oldest
+    open request gets the next echo, so a reply answers one request.
     """
+    is_request = F.col("sender") == "test"
     echo = F.to_json(F.try_variant_get(F.try_parse_json("body"), "$.echo", "variant"))
-    requests = (
-        messages.where(F.col("sender") == "test")
-        .select(F.col("id").alias("request_id"), F.col("created_at").alias("sent_at"), canonical_json(F.col("body")).alias("key"))
-        .withWatermark("sent_at", lateness)
-    )
-    replies = (
-        messages.where(F.col("sender") == "prod")
-        .select(F.col("id").alias("reply_id"), F.col("created_at").alias("replied_at"), echo.alias("echo"))
-        .withWatermark("replied_at", lateness)
-    )
-    window = F.expr(f"INTERVAL {timeout} SECONDS")
-    in_time = (
-        (F.col("key") == F.col("echo"))
-        & (F.col("replied_at") >= F.col("sent_at"))
-        & (F.col("replied_at") <= F.col("sent_at") + window)
+    events = messages.where(F.col("sender").isin("test", "prod")).select(
+        is_request.alias("is_request"), "id", F.col("created_at").alias("at"), F.unix_millis("created_at").alias("at_ms"), F.lit(timeout * 1000).alias("wait_ms"),
+        F.md5(F.when(is_request, canonical_json(F.col("body"))).otherwise(echo)).alias("key"),
     )
-    return requests.join(replies, in_time, "leftOuter").select("request_id", "reply_id")
+    keyed = events.where(F.col("key").isNotNull()).withWatermark("at", lateness).groupBy("key")
+    return keyed.applyInPandasWithState(pair_open, "request_id long, reply_id long", "ids array<long>, until array<long>", "append", "EventTimeTimeout")
 
 
 def stream_pairing(
