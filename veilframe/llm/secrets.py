@@ -101,11 +101,12 @@ def samples_of(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rows = good.count()
     if rows > train_docs:
         good = good.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * train_docs / rows))
-    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    # at most about train_docs ids; only their texts are looked at
+    chosen = docs.select(column(id_col).cast("bigint").alias("id"), F.coalesce(column(text_col).cast("string"), F.lit("")).alias("text")).join(F.broadcast(good), "id")
+    text = F.col("text")
     for _, pattern, _, _ in PATTERNS:
         text = F.regexp_replace(text, pattern, " ")
-    # at most about train_docs ids
-    words = docs.select(column(id_col).cast("bigint").alias("id"), text.alias("text")).join(F.broadcast(good), "id").select(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0)).alias("ws"))
+    words = chosen.select(text.alias("text")).select(F.regexp_extract_all("text", F.lit(r"[A-Za-z0-9+/_=-]{2,}"), F.lit(0)).alias("ws"))
     joined = F.transform(F.sequence(F.lit(1), F.size("ws") - 1), lambda i: F.concat(F.get("ws", i - 1), F.when(i % 2 == 0, "_").otherwise("-"), F.get("ws", i)))
     ordinary = words.where(F.size("ws") > 1).select(F.explode(F.concat("ws", joined, F.transform(joined, F.upper))).alias("text"), F.lit(False).alias("random"))
     return ordinary.unionByName(random_strings(spark))
@@ -138,6 +139,7 @@ def find_secrets(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", te
     base_spans = F.concat(*[named(rank, *p) for rank, p in enumerate(PATTERNS)])
     runs = F.transform(matches(F.col("text"), RUN, 0, 16), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("run")))
     base = saved(rows.select("row", "doc_id", base_spans.alias("base"), runs.alias("runs")), "secret-spans")
+    samples = saved(samples, "samples")
     ratios = markov_ratios(samples)
     if ratios is None:
         return base.select("row", "doc_id", F.array_sort("base").alias("spans"))
