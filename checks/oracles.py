@@ -610,8 +610,8 @@ def digest(name: str) -> str:
 
 for _key in ("C1_sync_baseline", "C2_sync_delta"):
     oracle(_key, " UNION ALL ".join(digest(n) for n in ENTITY_ORDER))
-oracle("T3_stream_load", " UNION ALL ".join(digest(n) for n in ("customers", "addresses")))
-oracle("T1_stream_masked_copy", "SELECT * FROM masked_accounts")
+for _name in ("T1_stream_masked_copy", "T3_stream_load"):
+    oracle(_name, " UNION ALL ".join(digest(n) for n in ENTITY_ORDER))
 oracle(
     "C2_delta_summary",
     " UNION ALL ".join(

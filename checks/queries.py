@@ -755,12 +755,12 @@ def _stream_at_once(spark: SparkSession, path: str, schema: T.StructType) -> Dat
 
 @query("T1_stream_masked_copy")
 def _(spark, sf):
-    raw = bank_tables(spark, sf)
     store = store_at(spark, "streamed")
-    store.replace("customers", M.mask_table(raw["customers"], "customers"))
-    source = _stream(spark, as_files(raw["accounts"], "accounts"), entity("accounts").schema)
-    flows.stream_masked_copy(source, "accounts", store, scratch_dir(spark, "t1"), None).awaitTermination()
-    return store.read("accounts")
+    store.reset()
+    for name, raw in bank_tables(spark, sf).items():
+        source = _stream(spark, as_files(raw, name), entity(name).schema)
+        flows.stream_masked_copy(source, name, store, scratch_dir(spark, "t1"), None).awaitTermination()
+    return digests(store.read_all())
 
 
 @query("T2_stream_answer")
@@ -775,12 +775,13 @@ def _(spark, sf):
 
 
 def _replies(spark, sf) -> DataFrame:
-    """Replies that bring one customer or one address each."""
+    """Replies that bring up to twenty rows of an entity each."""
     parts = []
-    for i, name in enumerate(("customers", "addresses")):
+    for i, name in enumerate(ENTITY_ORDER):
         docs = bus.row_documents(bank(spark, sf, name), name)
-        body = F.concat(F.lit(f'{{"ok":true,"entity":"{name}","rows":['), "doc", F.lit("]}"))
-        parts.append(docs.select((F.col("id") * 2 + i).alias("id"), body.alias("body")))
+        pages = docs.groupBy(F.floor(F.col("id") / 20).alias("page")).agg(F.array_sort(F.collect_list(F.struct("id", "doc"))).alias("rows"))
+        body = F.concat(F.lit(f'{{"ok":true,"entity":"{name}","rows":['), F.array_join("rows.doc", ","), F.lit("]}"))
+        parts.append(pages.select((F.col("page") * 5 + i).alias("id"), body.alias("body")))
     return union(parts).select(
         "id", F.lit("prod").alias("sender"), F.lit("test").alias("recipient"), "body",
         F.lit("2024-03-01 00:00:00").cast("timestamp").alias("created_at"), F.lit(None).cast("timestamp").alias("consumed_at"),
@@ -795,7 +796,7 @@ def _(spark, sf):
     path = as_files(_replies(spark, sf), "replies", files=2)
     source = _stream_at_once(spark, path, MESSAGE_SCHEMA)
     flows.stream_load(source, store, scratch_dir(spark, "t3"), None).awaitTermination()
-    return digests({n: store.read(n) for n in ("customers", "addresses")})
+    return digests(store.read_all())
 
 
 @query("T4_stream_pairing")
@@ -810,8 +811,9 @@ def _(spark, sf):
 @query("T5_stream_leak_monitor")
 def _(spark, sf):
     path = as_files(fixture(spark, sf, "bus_messages"), "messages")
-    flows.stream_leak_monitor(_stream(spark, path, MESSAGE_SCHEMA), "t5_monitor", scratch_dir(spark, "t5"), None).awaitTermination()
-    return spark.table("t5_monitor")
+    out = scratch_dir(spark, "monitor")
+    flows.stream_leak_monitor(_stream(spark, path, MESSAGE_SCHEMA), out, scratch_dir(spark, "t5"), None).awaitTermination()
+    return flows.latest(spark, out)
 
 
 @query("T6_stream_counts")
@@ -826,5 +828,6 @@ def _(spark, sf):
 def _(spark, sf):
     lines = fixture(spark, sf, "trace_lines")
     path = as_files(lines, "traces", order="seq")
-    flows.stream_trace(_stream(spark, path, lines.schema), "t7_trace", scratch_dir(spark, "t7"), None).awaitTermination()
-    return spark.table("t7_trace")
+    out = scratch_dir(spark, "trace-stats")
+    flows.stream_trace(_stream(spark, path, lines.schema), out, scratch_dir(spark, "t7"), None).awaitTermination()
+    return flows.latest(spark, out)

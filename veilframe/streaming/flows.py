@@ -12,7 +12,7 @@ from functools import reduce
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
@@ -218,16 +218,26 @@ def live_bus_stats(messages: DataFrame) -> DataFrame:
     return messages.agg(*bus_aggregates())
 
 
-def stream_leak_monitor(
-    messages: DataFrame, name: str, checkpoint: str | None = None, interval: int | None = DEFAULT_INTERVAL
-) -> StreamingQuery:
-    """Keep the counters, a single row, in an in-memory table."""
-    writer = live_bus_stats(messages).writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
+def _keep_latest(stats: DataFrame, out: str, checkpoint: str, interval: int | None) -> StreamingQuery:
+    """Write a small running result after each batch, as one file in the batch's own folder below ``out``."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    writer = stats.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint)
     return _triggered(writer, interval).start()
 
 
+def latest(spark: SparkSession, out: str) -> DataFrame:
+    """The running result after the last batch."""
+    kept = spark.read.parquet(out)
+    return kept.where(F.col("batch") == kept.agg(F.max("batch")).scalar()).drop("batch")
+
+
+def stream_leak_monitor(messages: DataFrame, out: str, checkpoint: str, interval: int | None = DEFAULT_INTERVAL) -> StreamingQuery:
+    """Keep the counters, a single row, in a shared folder."""
+    return _keep_latest(live_bus_stats(messages), out, checkpoint, interval)
+
+
 def stream_counts(
     ticks: DataFrame, tables: Callable[[], Mapping[str, DataFrame]], out: str, checkpoint: str,
     interval: int | None = DEFAULT_INTERVAL,
@@ -256,11 +266,6 @@ def live_trace_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def stream_trace(
-    lines: DataFrame, name: str, checkpoint: str | None = None, interval: int | None = DEFAULT_INTERVAL
-) -> StreamingQuery:
-    """Keep the counters, one row per agent, in an in-memory table."""
-    writer = live_trace_stats(lines).writeStream.outputMode("complete").format("memory").queryName(name)
-    if checkpoint:
-        writer = writer.option("checkpointLocation", checkpoint)
-    return _triggered(writer, interval).start()
+def stream_trace(lines: DataFrame, out: str, checkpoint: str, interval: int | None = DEFAULT_INTERVAL) -> StreamingQuery:
+    """Keep the counters, one row per agent, in a shared folder."""
+    return _keep_latest(live_trace_stats(lines), out, checkpoint, interval)
