@@ -456,7 +456,7 @@ oracle(
 oracle(
     "A8_load_summary_per_reply",
     f"""SELECT {_BE} AS entity, id AS reply_id, CAST(1 AS BIGINT) AS received, CAST(0 AS BIGINT) AS inserted, CAST(0 AS BIGINT) AS conflicts, CAST(1 AS BIGINT) AS skipped
-    FROM bus_messages WHERE sender = 'prod' AND json_extract_string(body, '$.ok') = 'true' AND {_BE} IN ('customers', 'addresses')""",
+    FROM bus_messages WHERE sender = 'prod' AND json_extract_string(body, '$.ok') = 'true'""",
 )
 oracle(
     "J11_reply_outcomes",
