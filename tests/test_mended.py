@@ -13,6 +13,7 @@ from veilframe.operators import bus, reads
 from veilframe.plans import sync
 from veilframe.registry import MESSAGE_SCHEMA, entity
 from veilframe.sources.fixtures import bank_tables
+from veilframe.sources.messages import with_marks
 from veilframe.sources.snapshots import SnapshotStore, VersionConflict
 from veilframe.streaming import flows
 
@@ -150,3 +151,18 @@ def test_child_that_comes_before_its_parent_is_tried_again(spark, sf_dir, tmp_pa
     report = spark.read.parquet(f"{path}/report").where("batch = 0").first()
     assert (report.reply_id, report.received, report.inserted, report.skipped) == (1, 1, 0, 1)
     assert spark.read.schema(MESSAGE_SCHEMA).parquet(f"{path}/waiting/batch=1").isEmpty()
+
+
+def test_nothing_is_left_unread_after_answers_and_loads(spark, sf_dir, tmp_path):
+    marks, replies = str(tmp_path / "marks"), str(tmp_path / "replies")
+    asks = spark.createDataFrame([(i, "test", "prod", '{"entity":"customers","limit":2}', AT, None) for i in (1, 2)], MESSAGE_SCHEMA)
+    store = SnapshotStore(spark, str(tmp_path / "masked"))
+    store.reset()
+    for _ in range(2):  # a replayed batch marks again
+        flows.answer_batch(asks, bank_tables(spark, sf_dir), replies, marks=marks)
+    answers = spark.read.schema(MESSAGE_SCHEMA).parquet(replies)
+    everything = asks.unionByName(answers)
+    assert with_marks(everything, marks).where("consumed_at IS NULL").count() == 2
+    flows.load_batch(answers, store, marks=marks)
+    read = with_marks(everything, marks)
+    assert read.count() == 4 and reads.next_unread(read).isEmpty() and reads.pending(read, "prod").isEmpty()

@@ -14,6 +14,22 @@ def read_messages(spark: SparkSession, path: str, stream: bool = False, **option
     return normalise_messages(reader.parquet(path))
 
 
+MARK_SCHEMA = "id BIGINT, consumed_at TIMESTAMP"
+
+
+def mark_read(messages: DataFrame, marks: str) -> None:
+    """Note that messages have been read. The log of marks is append-only; noting it twice does no harm."""
+    messages.select("id", F.current_timestamp().alias("consumed_at")).write.mode("append").parquet(marks)
+
+
+def with_marks(messages: DataFrame, marks: str) -> DataFrame:
+    """Messages with the time of their first mark, where they carry none themselves."""
+    read = messages.sparkSession.read.schema(MARK_SCHEMA).parquet(marks)
+    first = read.groupBy("id").agg(F.min("consumed_at").alias("_read_at"))
+    joined = messages.join(first, "id", "left")
+    return joined.withColumn("consumed_at", F.coalesce("consumed_at", "_read_at")).select(*messages.columns)
+
+
 def normalise_messages(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in MESSAGE_SCHEMA])
 

@@ -26,7 +26,7 @@ from veilframe.operators.loads import MISSING_PARENT, accepted, classify_load
 from veilframe.operators.traces import is_fault, trace_filter
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity as lookup
 from veilframe.session import materialize
-from veilframe.sources.messages import append_messages, normalise_messages
+from veilframe.sources.messages import append_messages, mark_read, normalise_messages
 from veilframe.sources.snapshots import SnapshotStore
 from veilframe.sources.traces import parse_trace
 
@@ -99,7 +99,7 @@ def _existing_messages(batch: DataFrame, path: str) -> DataFrame:
 
 
 def answer_batch(
-    batch: DataFrame, tables: Tables, replies: str, recipient: str = "prod"
+    batch: DataFrame, tables: Tables, replies: str, recipient: str = "prod", marks: str | None = None
 ) -> None:
     """Answer the requests of a batch once each, also one that was delivered twice.
 
@@ -112,17 +112,21 @@ def answer_batch(
     fresh = requests.join(written.select((F.col("id") - REPLY_ID_BASE).alias("id")), "id", "left_anti")
     answers = answer_requests(fresh, tables() if callable(tables) else tables)
     append_messages(reply_messages(answers, F.current_timestamp()), replies)
+    if marks:
+        mark_read(requests, marks)
 
 
 def stream_answer(
     messages: DataFrame, tables: Tables, replies: str, checkpoint: str,
-    interval: int | None = DEFAULT_INTERVAL,
+    interval: int | None = DEFAULT_INTERVAL, marks: str | None = None,
 ) -> StreamingQuery:
-    """The producer: every request addressed to it gets one masked reply."""
-    return _start(messages, lambda batch, _: answer_batch(batch, tables, replies), checkpoint, interval)
+    """The producer: every request addressed to it gets one masked reply, and is marked as read in ``marks``."""
+    return _start(messages, lambda batch, _: answer_batch(batch, tables, replies, marks=marks), checkpoint, interval)
 
 
-def load_batch(batch: DataFrame, store: SnapshotStore, log: str | None = None, batch_id: int = 0) -> None:
+def load_batch(
+    batch: DataFrame, store: SnapshotStore, log: str | None = None, batch_id: int = 0, marks: str | None = None
+) -> None:
     """Load the ok replies of a batch, parents first.
 
     With a ``log`` folder, each batch leaves there what became of every reply (``report``), and the replies
@@ -137,6 +141,8 @@ def load_batch(batch: DataFrame, store: SnapshotStore, log: str | None = None, b
     decided = load_replies(replies, store.read_all())
     for name in ENTITY_ORDER:
         store.append(name, accepted(decided[name], name))
+    if marks:
+        mark_read(replies, marks)
     if log:
         summarize_loads(decided, "reply_id").write.mode("overwrite").parquet(f"{log}/report/batch={batch_id}")
         early = [d.where(F.col("reason") == MISSING_PARENT).select(F.col("reply_id").alias("id")) for d in decided.values()]
@@ -145,10 +151,11 @@ def load_batch(batch: DataFrame, store: SnapshotStore, log: str | None = None, b
 
 
 def stream_load(
-    messages: DataFrame, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL, log: str | None = None
+    messages: DataFrame, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL, log: str | None = None,
+    marks: str | None = None,
 ) -> StreamingQuery:
     """The consumer: replies become rows of the masked copy. Late replies count like any other."""
-    return _start(messages, lambda batch, n: load_batch(batch, store, log, n), checkpoint, interval)
+    return _start(messages, lambda batch, n: load_batch(batch, store, log, n, marks), checkpoint, interval)
 
 
 def pair_open(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
