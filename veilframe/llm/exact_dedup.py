@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,8 @@ from pyspark.sql import types as T
 
 from veilframe.llm.common import column, saved
 
-TRIE_BYTES = 32 << 20  # of edge bytes in one task before a subtree is spilled
+TRIE_BYTES = 32 << 20  # that a task's trie and its owners take before a subtree is spilled
+STEP = 512  # rows whose texts are taken out of an Arrow batch at once
 
 
 class Node:
@@ -58,7 +60,8 @@ class Trie:
             child = node.children.get(key[at])
             if child is None:
                 leaf = node.children[key[at]] = Node(key[at:])
-                self.sizes[key[0]] = self.sizes.get(key[0], 0) + len(key) - at + 100
+                # the edge, the owner's key and, in whole rows, the text once more
+                self.sizes[key[0]] = self.sizes.get(key[0], 0) + 3 * len(key) - at + 1000
                 return leaf
             if key.startswith(child.edge, at):
                 node, at = child, at + len(child.edge)
@@ -95,19 +98,30 @@ def better(new: tuple, old: tuple, largest: bool) -> bool:
 FOUND = [
     T.StructField("row_key", T.LongType()), T.StructField("doc_id", T.LongType()), T.StructField("rep", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("hash", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("sha", T.StringType()),
-    T.StructField("text", T.BinaryType()),
 ]
+TEXT = T.StructField("text", T.BinaryType())
+
+
+def texts_of(batch: pa.RecordBatch, text_col: str | None) -> list[bytes]:
+    """The texts of a batch: a column of their own, or a field of the whole rows, so that they travel once."""
+    if text_col is None:
+        return batch.column("text").to_pylist()
+    return pc.fill_null(pc.struct_field(batch.column("row"), text_col).cast(pa.string()), "").cast(pa.binary()).to_pylist()
+
+
+def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(j, STEP) for batch in batches for j in range(0, batch.num_rows, STEP))
 
 
 def local_owners(df: DataFrame, id_col: str, text_col: str, largest: bool, whole_rows: bool, trie_bytes: int) -> DataFrame:
-    """One table of two kinds of rows. Members (text NULL): each row and the first row of its text in its task.
+    """One table of two kinds of rows. Members (copies NULL): each row and the first row of its text in its task.
 
     Owners: each distinct text of a task (or of what it spilled) with the row that would stay, and how many rows share it.
     """
-    schema = T.StructType(FOUND + ([T.StructField("row", T.StructType(df.schema.fields))] if whole_rows else []))
-    names = schema.names
+    schema = T.StructType([*FOUND, T.StructField("row", T.StructType(df.schema.fields)) if whole_rows else TEXT])
     row = F.struct(*[column(c) for c in df.columns]).alias("row")
-    source = df.select(column(id_col).cast("bigint").alias("doc_id"), F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary").alias("text"), *([row] if whole_rows else []))
+    text = F.coalesce(column(text_col).cast("string"), F.lit("")).cast("binary").alias("text")
+    source = df.select(column(id_col).cast("bigint").alias("doc_id"), row if whole_rows else text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base = TaskContext.get().partitionId() << 33
@@ -131,19 +145,17 @@ def local_owners(df: DataFrame, id_col: str, text_col: str, largest: bool, whole
             columns = [
                 pa.array([o[0][1] for o in part], pa.int64()), pa.array([o[0][0] for o in part], pa.int64()), pa.array([o[1] for o in part], pa.int64()),
                 pa.array([len(o[4]) for o in part], pa.int64()), pa.array([int.from_bytes(bytes.fromhex(o[3][:16]), "big", signed=True) for o in part], pa.int64()),
-                pa.array([o[2] for o in part], pa.int64()), pa.array([o[3] for o in part]), pa.array([o[4] for o in part], pa.binary()),
+                pa.array([o[2] for o in part], pa.int64()), pa.array([o[3] for o in part]),
             ]
-            if whole_rows:
-                columns.append(pa.concat_arrays([o[5] for o in part]))
-            return out(columns)
+            return out([*columns, pa.concat_arrays([o[5] for o in part]) if whole_rows else pa.array([o[4] for o in part], pa.binary())])
 
-        for batch in batches:
+        for batch in steps(batches):
             if kind is None:
-                fields = [("row_key", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("length", pa.int64()), ("hash", pa.int64()), ("copies", pa.int64()), ("sha", pa.string()), ("text", pa.binary())]
-                kind = pa.schema(fields + ([("row", batch.schema.field("row").type)] if whole_rows else []))
+                fields = [("row_key", pa.int64()), ("doc_id", pa.int64()), ("rep", pa.int64()), ("length", pa.int64()), ("hash", pa.int64()), ("copies", pa.int64()), ("sha", pa.string())]
+                kind = pa.schema([*fields, ("row", batch.schema.field("row").type) if whole_rows else ("text", pa.binary())])
             ids, rows = batch.column("doc_id").to_pylist(), batch.column("row") if whole_rows else None
-            reps, shas, spilled = [], [], []
-            for i, key in enumerate(batch.column("text").to_pylist()):
+            reps, shas = [], []
+            for i, key in enumerate(texts_of(batch, text_col if whole_rows else None)):
                 node, me = trie.insert(key), (ids[i], base | (n + i))
                 if node.owner is None:
                     node.owner = [me, me[1], 1, hashlib.sha256(key).hexdigest(), key, rows.take(pa.array([i])) if whole_rows else None]
@@ -156,9 +168,7 @@ def local_owners(df: DataFrame, id_col: str, text_col: str, largest: bool, whole
                 reps.append(node.owner[1])
                 shas.append(node.owner[3])
                 if sum(trie.sizes.values()) > trie_bytes:
-                    spilled.extend(trie.spill())
-                    yield from owners(spilled)
-                    spilled = []
+                    yield from owners(trie.spill())
             size = len(ids)
             empty = [pa.nulls(size, t) for t in kind.types]
             members = [pa.array(range(base | n, (base | n) + size), pa.int64()), pa.array(ids, pa.int64()), pa.array(reps, pa.int64()), *empty[3:6], pa.array(shas), *empty[7:]]
@@ -167,22 +177,22 @@ def local_owners(df: DataFrame, id_col: str, text_col: str, largest: bool, whole
         if kind is not None:
             yield from owners(trie.owners())
 
-    assert names[: len(FOUND)] == [f.name for f in FOUND]
     return saved(source.mapInArrow(run, schema), "exact-owners")
 
 
 def by_content(found: DataFrame) -> DataFrame:
     """The owners of all tasks, those of one length and content hash together and in a row."""
-    return found.where(F.col("text").isNotNull()).repartition("length", "hash").sortWithinPartitions("length", "hash")
+    return found.where(F.col("copies").isNotNull()).repartition("length", "hash").sortWithinPartitions("length", "hash")
 
 
-def merged(batches: Iterator[pa.RecordBatch], largest: bool, whole_rows: bool) -> Iterator[list[list]]:
+def merged(batches: Iterator[pa.RecordBatch], largest: bool, text_col: str | None = None) -> Iterator[list[list]]:
     """For each (length, hash), its terminals: [owner (id, row), all copies, reps that share it, row of the table]."""
     trie, at = Trie(), None
-    for batch in batches:
+    whole_rows = text_col is not None
+    for batch in steps(batches):
         length, content, ids, keys, reps, copies = (batch.column(c).to_pylist() for c in ("length", "hash", "doc_id", "row_key", "rep", "copies"))
         rows = batch.column("row") if whole_rows else None
-        for i, text in enumerate(batch.column("text").to_pylist()):
+        for i, text in enumerate(texts_of(batch, text_col)):
             if at != (length[i], content[i]):
                 if at is not None:
                     yield list(trie.owners())
@@ -206,12 +216,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = local_owners(docs, id_col, text_col, largest, False, trie_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for owners in merged(batches, largest, False):
+        for owners in merged(batches, largest):
             flat = [(rep, o[0][0], o[0][1], o[1]) for o in owners for rep in o[2]]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*flat, strict=True)], names=["rep", "keep_id", "keep_row", "group_size"])
 
     groups = by_content(found).select("length", "hash", "doc_id", "row_key", "rep", "copies", "text").mapInArrow(run, "rep long, keep_id long, keep_row long, group_size long")
-    members = found.where(F.col("text").isNull()).select("row_key", "doc_id", "rep", "sha")
+    members = found.where(F.col("copies").isNull()).select("row_key", "doc_id", "rep", "sha")
     return members.join(saved(groups, "exact-groups"), "rep").select(
         "doc_id", "keep_id", "group_size", (F.col("row_key") == F.col("keep_row")).alias("kept"), F.col("sha").alias("text_sha256")
     )
@@ -224,7 +234,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part: list = []
-        for owners in merged(batches, largest, True):
+        for owners in merged(batches, largest, text_col):
             part.extend(o[3] for o in owners)
             if len(part) >= 512:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(part)], names=["row"])
@@ -232,6 +242,6 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if part:
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(part)], names=["row"])
 
-    kept = by_content(found).select("length", "hash", "doc_id", "row_key", "rep", "copies", "text", "row")
+    kept = by_content(found).select("length", "hash", "doc_id", "row_key", "rep", "copies", "row")
     kept = kept.mapInArrow(run, T.StructType([T.StructField("row", T.StructType(docs.schema.fields))]))
     return kept.select("row.*")
