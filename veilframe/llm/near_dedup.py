@@ -96,12 +96,12 @@ def weigh(text: str) -> tuple[np.ndarray, np.ndarray, frozenset | None]:
     return shingle, count, frozenset(shingle.tolist()) if (count == 1).all() else None
 
 
-remembered = lru_cache(maxsize=4096)(weigh)
+remembered = lru_cache(maxsize=1024)(weigh)
 
 
 def weighed(text: str) -> tuple[np.ndarray, np.ndarray, frozenset | None]:
     """What ``weigh`` gives, kept for texts of ordinary length."""
-    return remembered(text) if len(text) < 1 << 13 else weigh(text)
+    return remembered(text) if len(text) < 1 << 12 else weigh(text)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray, frozenset | None], b: tuple[np.ndarray, np.ndarray, frozenset | None]) -> float:
