@@ -245,6 +245,19 @@ def test_mixing_odd_rows(spark, odd, empty):
     assert mixing.mix(empty, labelled, targets).count() == 0
 
 
+def test_shares_are_those_of_labelled_texts_in_docs(spark):
+    """Labels of documents that earlier stages removed say nothing about those that are left."""
+    docs = spark.createDataFrame([(i, f"plain text {i}") for i in range(40)], "doc_id long, text string")
+    labelled = spark.createDataFrame([(i, "x" if i < 30 else "y") for i in range(40)] + [(i, "z") for i in range(100, 200)], "doc_id long, domain string")
+    targets = {"x": 0.7, "y": 0.3, "z": 0.0}
+    _, shares = mixing.word_model(docs, labelled, list(targets))
+    assert shares["z"] == 0 and abs(shares["x"] - 31 / 42) < 1e-9 and abs(sum(shares.values()) - 1) < 1e-9
+    mixed = mixing.mix(docs, labelled, targets).collect()
+    assert all(m.p_2 == 0 and abs(m.p_0 + m.p_1 - 1) < 1e-9 for m in mixed)
+    _, alone = mixing.word_model(docs, labelled.where("domain = 'z'"), ["x", "y"])
+    assert alone == {"x": 0.5, "y": 0.5}
+
+
 # ---------------------------------------------------------------- 6 secrets
 ASSIGN = re.compile(secrets.PATTERNS[0][1])
 

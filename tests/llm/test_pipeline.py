@@ -2,9 +2,13 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.test_operators import check_pieces, classes
+from veilframe.llm import mixing
 from veilframe.llm.common import saved, table
+from veilframe.llm.queries import domains_of
 
 
 def test_stages(spark, sf_dir):
@@ -33,6 +37,18 @@ def test_stages(spark, sf_dir):
     assert before.count() == len(rows["mixing"])
 
 
+def test_mixing_reaches_its_targets(spark):
+    """Expected shares after mixing, on what the stages before it keep."""
+    sf_dir = "/root/testdata/sf0.01"
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = saved(stage(spark, docs, sf_dir), name)
+    mixed = saved(mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), corpus_pipeline.TARGETS), "mixed")
+    tokens = F.col("rate") * F.col("tokens")
+    *got, total = mixed.agg(*[F.sum(tokens * F.col(f"p_{i}")) for i in range(len(corpus_pipeline.TARGETS))], F.sum(tokens)).first()
+    assert all(abs(t / total - want) < 0.01 for t, want in zip(got, corpus_pipeline.TARGETS.values(), strict=True))
+
+
 def test_empty_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:

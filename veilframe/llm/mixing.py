@@ -12,13 +12,14 @@ their case and marks, not how often. It is fitted on at most about ``train_rows`
 id; everything else covers all rows.
 
 Defined results: a NULL text counts as empty, has one token (so that it has a rate) and the domains'
-shares among labels as probabilities; NULL labels and ids teach nothing; a domain that no text belongs to leaves
+shares among the labelled texts of ``docs`` as probabilities; a domain without such a text has probability 0
+everywhere (without any labelled text, all are equal); NULL labels and ids teach nothing; a domain that no text belongs to leaves
 its target unmet; rows that repeat id and text share their rate and copies; an empty table stays empty.
 """
 
 from __future__ import annotations
 
-from math import log
+from math import inf, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,11 +60,12 @@ def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
     # at most about train_rows ids
     texts = keyed(docs, id_col, text_col).join(F.broadcast(known), "id").dropDuplicates(["domain", "sha"])
     of = {d: F.col("domain") == d for d in domains}
-    sizes = known.groupBy("domain").count().collect()  # one row a domain
     counts = texts.select("domain", F.explode(F.array_distinct(words_of(F.col("text")))).alias("word")).groupBy(bucket(F.col("word")).alias("bucket")).agg(
         *[F.count(F.when(of[d], 1)).alias(f"n_{k}") for k, d in enumerate(domains)]
     )
     counts = saved(counts, "word-counts")
+    # of the labelled texts that are there, not of the whole label table: earlier stages may have taken a domain away
+    found = {r["domain"]: r["count"] for r in texts.groupBy("domain").count().collect()}  # one row a domain
     totals = counts.agg(*[F.coalesce(F.sum(f"n_{k}"), F.lit(0)) for k in range(len(domains))]).first()
     everything = sum(totals)
     n = [F.col(f"n_{k}") for k in range(len(domains))]
@@ -74,8 +76,8 @@ def word_model(docs: DataFrame, labelled: DataFrame, domains: list[str], id_col:
         return F.when(clear, F.log((n[k] + PULL) / (expected[k] + PULL))).otherwise(0.0).alias(f"w_{k}")
 
     weights = [weight(k) for k in range(len(domains))]
-    found = {r["domain"]: r["count"] for r in sizes}
-    shares = {d: (found.get(d, 0) + 1) / (sum(found.values()) + len(domains)) for d in domains}
+    here = [d for d in domains if d in found] or domains
+    shares = {d: (found.get(d, 0) + 1) / (sum(found.values()) + len(here)) if d in here else 0.0 for d in domains}
     telling = counts.select("bucket", *weights).where(" or ".join(f"w_{k} <> 0" for k in range(len(domains))))
     return saved(telling, "word-weights"), shares
 
@@ -94,7 +96,7 @@ def memberships(docs: DataFrame, model: DataFrame, shares: dict[str, float], id_
         *[F.coalesce(F.sum(F.when(real, F.col(f"w_{i}"))), F.lit(0.0)).alias(f"s_{i}") for i in k]
     )
     dampened = F.when(F.col("n") > LENGTH, F.sqrt(LENGTH / F.col("n"))).otherwise(1.0)
-    logs = sums.select("id", "sha", F.greatest("n", F.lit(1)).alias("tokens"), *[(F.col(f"s_{i}") * dampened + log(p)).alias(f"l_{i}") for i, p in enumerate(shares.values())])
+    logs = sums.select("id", "sha", F.greatest("n", F.lit(1)).alias("tokens"), *[(F.col(f"s_{i}") * dampened + (log(p) if p else -inf)).alias(f"l_{i}") for i, p in enumerate(shares.values())])
     top = F.greatest(*[f"l_{i}" for i in k]) if len(shares) > 1 else F.col("l_0")
     parts = [F.exp(F.col(f"l_{i}") - top) for i in k]
     return logs.select("id", "sha", "tokens", *[(p / sum(parts[1:], parts[0])).alias(f"p_{i}") for i, p in enumerate(parts)])
