@@ -162,6 +162,21 @@ def test_packing_odd_rows(spark, odd, empty):
     assert packing.pack(empty).count() == 0 and packing.sequences(empty).count() == 0
 
 
+def test_marks_are_the_tokenizers_by_default(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    mark = "<|endoftext|>"
+    texts = TRICKY + [mark, mark * 3, f"a {mark} b", f"{mark} x", f"x  {mark}", f"é {mark}\n\n {mark}  z", f"<|endoftext {mark}|>", "plain"]
+    want = [e.ids for e in Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode_batch(texts, add_special_tokens=False)]
+    got = packing.token_ids(pa.array(texts), public_tokenizers.path(packing.RANKS))
+    assert [list(map(int, x)) for x in got] == want and [64, 220, 50256, 275] in want
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)).collect()
+    sums = {i: (len(ids) + 1, zlib.crc32(np.array([*ids, 0], "<u4").tobytes())) for i, ids in enumerate(want)}
+    assert all(p.doc_tokens == sums[p.doc_id][0] and (p.length < p.doc_tokens or p.ids_crc32 == sums[p.doc_id][1]) for p in pieces)
+    assert {p.doc_id for p in pieces} == set(sums)
+
+
 # ---------------------------------------------------------------- 4 near duplicates
 def test_similarity_is_probability_jaccard():
     rng = np.random.default_rng(5)
