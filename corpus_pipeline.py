@@ -13,8 +13,10 @@ from veilframe.llm.near_dedup import near_dedup
 from veilframe.llm.packing import pack
 from veilframe.llm.queries import domains_of
 
-# Shares of tokens that the corpus is mixed to; the labelled table names the domains.
-TARGETS = {"clean": 0.87, "toxic": 0.13, "low": 0.0}
+# Shares of tokens that the corpus is mixed to, whatever its own mix; the labelled table names the domains. The unwanted
+# domains' shares are upper bounds: a corpus that has less of them already keeps its mix.
+TARGETS = {"clean": 0.97, "toxic": 0.03, "low": 0.0}
+UNWANTED = ("toxic", "low")
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as their domains are wanted: clean ones at least once, since their share goes up."""
-    mixed = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), TARGETS)
+    """Rows as often as their domains are wanted: clean ones at least once, since their share never goes down."""
+    mixed = mixing.mix(docs, domains_of(table(spark, sf_dir, "labels")), TARGETS, at_most=UNWANTED)
     return mixing.apply_mix(docs, mixed)
 
 

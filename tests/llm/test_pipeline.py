@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -38,8 +39,8 @@ def test_stages(spark, sf_dir):
 
 
 def test_mixing_reaches_its_targets(spark):
-    """Expected shares after mixing, on what the stages before it keep."""
-    sf_dir = "/root/testdata/sf0.01"
+    """Expected shares after mixing, on what the stages before it keep; fewer labelled texts leave too many words untold (README)."""
+    sf_dir = "/root/testdata/sf0.1"
     docs = table(spark, sf_dir, "documents")
     for name, stage in corpus_pipeline.STAGES[:3]:
         docs = saved(stage(spark, docs, sf_dir), name)
@@ -49,6 +50,18 @@ def test_mixing_reaches_its_targets(spark):
     assert all(abs(t / total - want) < 0.01 for t, want in zip(got, corpus_pipeline.TARGETS.values(), strict=True))
 
 
+@pytest.mark.parametrize(("one_in", "least", "most"), [(50, 0.95, 1.05), (10, 0.0, 0.4), (4, 0.0, 0.15)])
+def test_mixing_other_mixes(spark, tmp_path, one_in, least, most):
+    """Toxic shares go down to the target and never up, whatever the corpus's own mix; clean documents stay."""
+    toxic = {i for i in range(3000) if i % one_in == 0}
+    docs = spark.createDataFrame([(i, f"{'vile rot' if i in toxic else 'fair day'} and w{i} so on") for i in range(3000)], "doc_id long, text string")
+    spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(3000)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = Counter(r.doc_id for r in corpus_pipeline.mix_domains(spark, docs, str(tmp_path)).collect())
+    assert all(got[i] >= 1 for i in range(3000) if i not in toxic)
+    assert least <= sum(got[i] for i in toxic) / len(toxic) <= most
+    assert sum(got[i] for i in toxic) / sum(got.values()) < 0.04
+
+
 def test_empty_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").limit(0)
     for name, stage in corpus_pipeline.STAGES:
