@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, exact_dedup, language, mixing, near_dedup, packing, quality, secrets, sharding, topk
+from veilframe.llm import chat, exact_dedup, language, lexical, mixing, near_dedup, packing, quality, secrets, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,3 +141,33 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     model = language.train(table(spark, sf, "documents"))
     return language.identify(table(spark, sf, "pages"), model)
+
+
+# Fixed values of the contracts: the characters of a term, and the letters that are lower-cased.
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+@query(
+    "op13_lexical_search",
+    f"""
+    WITH d AS (
+      SELECT doc_id, row_number() OVER () AS r, list_transform(regexp_extract_all(coalesce(text, ''), '{TERM}'), lambda t: translate(t, {LOWERED})) AS ts FROM documents
+    ), totals AS (SELECT count(*) FILTER (len(ts) > 0) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d
+    ), items AS (
+      SELECT item_id, term, count(*) AS times
+      FROM (SELECT item_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '{TERM}')), {LOWERED}) AS term FROM benchmark) GROUP BY ALL
+    ), tf AS (
+      SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(ts) AS n, unnest(ts) AS term FROM d) WHERE term IN (SELECT term FROM items) GROUP BY ALL
+    ), w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, totals GROUP BY term
+    ), scored AS (
+      SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM tf JOIN w USING (term) JOIN items USING (term), totals GROUP BY item_id, r, doc_id
+    ), ranked AS (
+      SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
