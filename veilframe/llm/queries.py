@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, exact_dedup, language, lexical, mixing, near_dedup, packing, quality, secrets, sharding, topk
+from veilframe.llm import chat, decontaminate, exact_dedup, language, lexical, mixing, near_dedup, packing, quality, secrets, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -171,3 +171,35 @@ LOWERED = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 )
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"), 20)
+
+
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+@query(
+    "op11_decontamination",
+    f"""
+    WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), '{WORD}') AS w FROM documents
+    ), b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {LOWERED}), '{WORD}') AS w FROM benchmark
+    ), windows AS (
+      SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS phrase
+      FROM b, unnest(range(1, greatest(len(w) - 8, 2))) AS t(i) WHERE len(w) > 0
+    ), grams AS (
+      SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS phrase
+      FROM d, (SELECT DISTINCT n FROM windows), unnest(range(1, greatest(len(w) - n + 2, 1))) AS t(i)
+    ), found AS (SELECT r, item_id, n, i FROM grams JOIN windows USING (n, phrase)
+    ), words AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT r, n, i FROM found), unnest(range(i, i + n)) AS t(j) GROUP BY r
+    ), held AS (
+      SELECT r, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM (SELECT DISTINCT r, item_id FROM found) GROUP BY r
+    )
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN words USING (r) LEFT JOIN held USING (r)
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"), [F.col("doc_id").cast("bigint").alias("doc_id")])
+    names = F.array_join(F.array_sort("item_ids"), ",")
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
+    )

@@ -30,13 +30,13 @@ SLICE_BYTES = 2 << 20  # of text that whole-array operations take at once; a lon
 SLICE_ROWS = 1024
 
 
-def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = SLICE_BYTES, most_rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """The batch in parts of bounded rows and text bytes, so that what is worked out from them stays small."""
     sizes = np.cumsum(np.diff(flat(batch.column(text))[1]))
     begin = 0
     while begin < batch.num_rows:
         upto = sizes[begin - 1] if begin else 0
-        end = min(max(int(np.searchsorted(sizes, upto + SLICE_BYTES, "right")), begin + 1), begin + SLICE_ROWS)
+        end = min(max(int(np.searchsorted(sizes, upto + most_bytes, "right")), begin + 1), begin + most_rows)
         yield batch.slice(begin, end - begin)
         begin = end
 
