@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, decontaminate, exact_dedup, language, lexical, mixing, near_dedup, packing, quality, secrets, sharding, topk
+from veilframe.llm import chat, decontaminate, exact_dedup, language, lexical, mixing, near_dedup, packing, quality, repair, secrets, sharding, topk
 from veilframe.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -203,3 +203,80 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated")
     )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with rows dropped, emptied, cut off, repeated and given to the user, as CRC-32 of ``conv_id:turn`` decides."""
+    name = F.concat_ws(":", F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    role, text = F.coalesce("role", F.lit(" ")), F.coalesce("text", F.lit(" "))
+    hit = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), (F.crc32(name) % 20).alias("hit")).where(F.col("hit") != 0)
+    text = F.when(F.col("hit") == 1, "").when(F.col("hit") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    times = F.explode(F.array_repeat(F.lit(1), F.when(F.col("hit") == 3, 2).otherwise(1)))
+    return hit.select("conv_id", "turn", F.when(F.col("hit") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), times.alias("one")).drop("one")
+
+
+@query(
+    "op12_conversation_repair",
+    r"""
+    WITH RECURSIVE crc AS (
+      SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, x)) AS tab
+    ), named AS (
+      SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name
+      FROM conversations
+    ), coded AS (
+      SELECT named.*, xor(list_reduce(list_transform(range(1, length(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT)),
+        lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS hit FROM named, crc
+    ), damaged AS (
+      SELECT conv_id, turn, CASE hit WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE hit WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM coded, unnest(CASE hit WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END)
+    ), numbered AS (
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
+        regexp_replace(text, '[ 	-]+$', '') AS inked, left(role, 1) AS initial FROM damaged
+    ), classed AS (
+      SELECT *, CASE WHEN inked = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(inked, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered
+    ), least_edits AS (
+      SELECT conv_id, max(i) + 1 AS i, [{'c': 0, 'a': ''}, {'c': 6, 'a': 'II'}, {'c': 3, 'a': 'I'}, {'c': 0, 'a': ''}] AS v FROM classed GROUP BY conv_id
+      UNION ALL
+      SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda s: list_min([
+        u[s], {'c': 3 + u[[3, 3, 4, 3][s]].c, 'a': 'I' || u[[3, 3, 4, 3][s]].a}, {'c': 6 + u[[4, 4, 3, 4][s]].c, 'a': 'II' || u[[4, 4, 3, 4][s]].a}]))
+      FROM (
+        SELECT r.conv_id, r.i, list_transform([1, 2, 3, 4], lambda s: list_min([
+          {'c': 4 + v[s].c, 'a': 'D' || v[s].a},
+          CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {'c': 3 + CASE fault WHEN 'truncated' THEN 3 ELSE 0 END + v[[3, 3, 4, 3][s]].c, 'a': 'R' || v[[3, 3, 4, 3][s]].a} END,
+          CASE WHEN fault NOT IN ('blank', 'duplicate') AND (initial = 's' AND s = 1 OR initial = 'u' AND s <> 3 OR initial = 'a' AND s = 3) THEN
+            {'c': CASE fault WHEN 'truncated' THEN 3 ELSE 0 END + v[CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].c, 'a': 'K' || v[CASE initial WHEN 's' THEN 2 WHEN 'u' THEN 3 ELSE 4 END].a} END])) AS u
+        FROM least_edits e JOIN classed r ON r.conv_id IS NOT DISTINCT FROM e.conv_id AND r.i = e.i - 1
+      )
+    ), chosen AS (SELECT conv_id, v[1].c AS cost, v[1].a AS audit FROM least_edits WHERE i = 1
+    ), letters AS (
+      SELECT conv_id, k, audit[k] AS edit, count(*) FILTER (audit[k] <> 'I') OVER w AS i, count(*) FILTER (audit[k] <> 'D') OVER w AS put
+      FROM chosen, unnest(range(1, length(audit) + 1)) AS t(k) WINDOW w AS (PARTITION BY conv_id ORDER BY k)
+    ), laid AS (
+      SELECT l.*, r.role, r.text, bool_or(put = 1 AND edit = 'K' AND initial = 's') OVER (PARTITION BY l.conv_id) AS opened
+      FROM letters l LEFT JOIN classed r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i AND l.edit <> 'I' WHERE edit <> 'D'
+    ), repaired AS (
+      SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (put - CASE WHEN opened THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS lines FROM laid GROUP BY conv_id
+    ), told AS (
+      SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM classed GROUP BY conv_id
+    )
+    SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+      CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM o.conv_id
+      LEFT JOIN chosen c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
+)
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    turns = table(spark, sf, "conversations")
+    done = repair.repair(damaged(turns))
+    ids = turns.select(F.col("conv_id").alias("original")).distinct()
+    told = ids.join(done.report, F.col("original").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    told = told.join(repair.digests(done.turns), F.col("original").eqNullSafe(F.col("conv_id")), "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select(
+        F.col("original").alias("conv_id"), *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    )
