@@ -232,10 +232,10 @@ def damaged(turns: DataFrame) -> DataFrame:
       FROM coded, unnest(CASE hit WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END)
     ), numbered AS (
       SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i,
-        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again,
-        regexp_replace(text, '[ 	-]+$', '') AS inked, left(role, 1) AS initial FROM damaged
+        regexp_replace(text, '[ 	-
+]+$', '') AS inked, left(role, 1) AS initial FROM damaged
     ), classed AS (
-      SELECT *, CASE WHEN inked = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(inked, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      SELECT *, CASE WHEN inked = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(inked, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
         lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered
     ), least_edits AS (
       SELECT conv_id, max(i) + 1 AS i, [{'c': 0, 'a': ''}, {'c': 6, 'a': 'II'}, {'c': 3, 'a': 'I'}, {'c': 0, 'a': ''}] AS v FROM classed GROUP BY conv_id
