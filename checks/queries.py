@@ -21,6 +21,7 @@ from veilframe.session import materialize, scratch_dir
 from veilframe.sources import messages as log
 from veilframe.sources import snapshots, traces as trace_files
 from veilframe.sources.fixtures import bank, bank_tables, driver_table, fixture
+from veilframe.sources.position_index import PositionIndex
 from veilframe.streaming import flows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -769,7 +770,8 @@ def _(spark, sf):
     path = as_files(fixture(spark, sf, "request_bodies"), "requests")
     replies = scratch_dir(spark, "replies")
     source = _stream(spark, path, MESSAGE_SCHEMA)
-    flows.stream_answer(source, tables, replies, scratch_dir(spark, "t2"), None).awaitTermination()
+    index = PositionIndex(spark, scratch_dir(spark, "positions"))
+    flows.stream_answer(source, tables, replies, scratch_dir(spark, "t2"), None, index=index).awaitTermination()
     written = log.read_messages(spark, replies)
     return written.select((F.col("id") - bus.REPLY_ID_BASE).alias("request_id"), F.md5("body").alias("body_md5"))
 

@@ -27,6 +27,7 @@ from veilframe.operators.traces import is_fault, trace_filter
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity as lookup
 from veilframe.session import materialize
 from veilframe.sources.messages import append_messages, mark_read, normalise_messages
+from veilframe.sources.position_index import PositionIndex
 from veilframe.sources.snapshots import SnapshotStore
 from veilframe.sources.traces import parse_trace
 
@@ -99,18 +100,19 @@ def _existing_messages(batch: DataFrame, path: str) -> DataFrame:
 
 
 def answer_batch(
-    batch: DataFrame, tables: Tables, replies: str, recipient: str = "prod", marks: str | None = None
+    batch: DataFrame, tables: Tables, replies: str, recipient: str = "prod", marks: str | None = None, index: PositionIndex | None = None
 ) -> None:
     """Answer the requests of a batch once each, also one that was delivered twice.
 
     The reply's id follows from the request's. ``tables``, where it is a function, is called for each
-    batch, so that rows written since the stream began are found.
+    batch, so that rows written since the stream began are found. An ``index`` is brought up to date by
+    the files written since, so that a batch reads what it asks for and not all ids above its lowest mark.
     """
     requests = normalise_messages(batch.where(F.col("recipient") == recipient)).dropDuplicates(["id"])
     requests = materialize(requests, "stream-requests")
     written = within(_existing_messages(batch, replies), requests.select((F.col("id") + REPLY_ID_BASE).alias("id")), "id")
     fresh = requests.join(written.select((F.col("id") - REPLY_ID_BASE).alias("id")), "id", "left_anti")
-    answers = answer_requests(fresh, tables() if callable(tables) else tables)
+    answers = answer_requests(fresh, tables() if callable(tables) else tables, index=index)
     append_messages(reply_messages(answers, F.current_timestamp()), replies)
     if marks:
         mark_read(requests, marks)
@@ -118,10 +120,10 @@ def answer_batch(
 
 def stream_answer(
     messages: DataFrame, tables: Tables, replies: str, checkpoint: str,
-    interval: int | None = DEFAULT_INTERVAL, marks: str | None = None,
+    interval: int | None = DEFAULT_INTERVAL, marks: str | None = None, index: PositionIndex | None = None,
 ) -> StreamingQuery:
     """The producer: every request addressed to it gets one masked reply, and is marked as read in ``marks``."""
-    return _start(messages, lambda batch, _: answer_batch(batch, tables, replies, marks=marks), checkpoint, interval)
+    return _start(messages, lambda batch, _: answer_batch(batch, tables, replies, marks=marks, index=index), checkpoint, interval)
 
 
 def load_batch(
