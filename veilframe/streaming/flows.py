@@ -7,19 +7,16 @@ a time limit.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from veilframe.functions.masks import mask_table
-from veilframe.functions.text import canonical_json
 from veilframe.operators.audit import bus_aggregates, row_counts
 from veilframe.operators.bus import REPLY_ID_BASE, answer_requests, load_replies, reply_messages, summarize_loads
 from veilframe.operators.loads import MISSING_PARENT, accepted, classify_load
@@ -30,12 +27,14 @@ from veilframe.sources.messages import append_messages, mark_read, normalise_mes
 from veilframe.sources.position_index import PositionIndex
 from veilframe.sources.snapshots import SnapshotStore
 from veilframe.sources.traces import parse_trace
+from veilframe.streaming.pairing import pair_batch
 
 # Seconds between automatic copies and how long a requester waits.
 DEFAULT_INTERVAL = 60
 MIN_INTERVAL = 10
 MAX_INTERVAL = 3600
 REPLY_TIMEOUT = 180
+REPLY_LATENESS = 60  # seconds that a message may come after later ones
 
 
 # The tables to answer from, or a function that opens them anew for each batch.
@@ -160,66 +159,24 @@ def stream_load(
     return _start(messages, lambda batch, n: load_batch(batch, store, log, n, marks), checkpoint, interval)
 
 
-def pair_open(key: tuple, events: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Give each echo of one key to the oldest request still open; let go of requests whose time is over.
-
-    The state is the open requests of the key, in order, as (id, milliseconds at which it stops waiting).
-    """
-    waiting = list(zip(*state.get, strict=True)) if state.exists else []
-    out: list[tuple[int, int | None]] = []
-    if not state.hasTimedOut:
-        rows = pd.concat(list(events)).sort_values(["at_ms", "id"])
-        for is_request, number, at, wait in zip(rows["is_request"], rows["id"], rows["at_ms"], rows["wait_ms"], strict=True):
-            if is_request:
-                waiting.append((int(number), int(at + wait)))
-                continue
-            while waiting and waiting[0][1] < at:
-                out.append((waiting.pop(0)[0], None))
-            if waiting:
-                out.append((waiting.pop(0)[0], int(number)))
-    past = state.getCurrentWatermarkMs()
-    while waiting and waiting[0][1] < past:
-        out.append((waiting.pop(0)[0], None))
-    if waiting:
-        state.update(([w[0] for w in waiting], [w[1] for w in waiting]))
-        state.setTimeoutTimestamp(max(waiting[0][1], past) + 1)
-    elif state.exists:
-        state.remove()
-    if out:
-        yield pd.DataFrame({"request_id": pd.array([o[0] for o in out], "Int64"), "reply_id": pd.array([o[1] for o in out], "Int64")})
-
-
-def paired_stream(messages: DataFrame, timeout: int = REPLY_TIMEOUT, lateness: str = "1 minute") -> DataFrame:
+def stream_pairing(
+    messages: DataFrame, out: str, checkpoint: str, timeout: int = REPLY_TIMEOUT, interval: int | None = DEFAULT_INTERVAL,
+    state: str | None = None, lateness: int = REPLY_LATENESS,
+) -> StreamingQuery:
     """Each request once: with the reply that came within the timeout, or with NULL once it is over.
 
-    Requests and echoes meet under the digest of their canonical JSON. Among identical ones the oldest
-    open request gets the next echo, so a reply answers one request.
+    Requests and echoes meet under the digest of their canonical JSON. Among identical ones the oldest open request
+    gets the next echo, so a reply answers one request. What is open is kept below ``state``, beside ``out`` by default.
     """
-    is_request = F.col("sender") == "test"
-    echo = F.to_json(F.try_variant_get(F.try_parse_json("body"), "$.echo", "variant"))
-    events = messages.where(F.col("sender").isin("test", "prod")).select(
-        is_request.alias("is_request"), "id", F.col("created_at").alias("at"), F.unix_millis("created_at").alias("at_ms"), F.lit(timeout * 1000).alias("wait_ms"),
-        F.md5(F.when(is_request, canonical_json(F.col("body"))).otherwise(echo)).alias("key"),
-    )
-    keyed = events.where(F.col("key").isNotNull()).withWatermark("at", lateness).groupBy("key")
-    return keyed.applyInPandasWithState(pair_open, "request_id long, reply_id long", "ids array<long>, until array<long>", "append", "EventTimeTimeout")
-
-
-def stream_pairing(
-    messages: DataFrame, out: str, checkpoint: str, timeout: int = REPLY_TIMEOUT, interval: int | None = DEFAULT_INTERVAL
-) -> StreamingQuery:
-    writer = (
-        paired_stream(messages, timeout)
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    )
-    return _triggered(writer, interval).start()
+    kept = state or f"{out.rstrip('/')}-open"
+    return _start(messages, lambda batch, n: pair_batch(batch, kept, out, n, timeout, lateness), checkpoint, interval)
 
 
 def close_pairing(emitted: DataFrame, requests: DataFrame) -> DataFrame:
     """Stop waiting: requests the stream has not decided yet stay without a reply."""
     waiting = requests.where(F.col("sender") == "test").select(F.col("id").alias("request_id"))
     left = waiting.join(emitted, "request_id", "left_anti")
-    return emitted.unionByName(left.withColumn("reply_id", F.lit(None).cast("bigint")))
+    return emitted.select("request_id", "reply_id").unionByName(left.withColumn("reply_id", F.lit(None).cast("bigint")))
 
 
 def live_bus_stats(messages: DataFrame) -> DataFrame:
