@@ -4,8 +4,9 @@ Four kinds of evidence meet in one posterior: the likelihood of the page's text
 models of the languages; the language that the markup declares; the address suffix; and the prior of the
 page's host. How telling a declaration or suffix is, and what a host tends to publish, is not assumed but
 added up by grouped aggregation from the text evidence of all pages: a suffix or declaration by its
-share of each language, a host smoothed towards its domain, which is smoothed towards all pages. A page
-never counts towards its own prior.
+share of each language, a host smoothed towards its domain, which is smoothed towards all pages, a declaration or
+suffix towards the languages' shares. A page never counts as evidence for itself: its own part is taken out of all
+four sums.
 
 The trigram models are fitted on at most about ``train_rows`` rows whose language is known, chosen by a
 hash of the id; every page is read whole, without script, style, comments, navigation and tags.
@@ -34,7 +35,11 @@ BUCKETS = 1 << 15  # trigrams are counted by a hash of so many values
 TRAIN_ROWS = 4_000
 STRENGTH = 40.0  # trigrams that a whole text counts for at most: neighbouring ones are not independent
 SMOOTH = 5.0  # pages with which a host is drawn to its domain, and a domain to all
-DOUBT = 1.0  # pages of each language that every declaration and suffix is counted with
+DOUBT = 1.0  # pages, of the languages' shares, that every declaration and suffix is counted with
+# Labels that with a country's make one suffix.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "gov", "net", "org")
+DOMAIN = rf"([^.]+\.(?:(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}|[^.]+))$"
+ADDRESS = r"^[0-9.]+$"
 HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<nav\b.*?</nav\s*>|<!--.*?-->|<[^>]*>|&#?\w+;"
 
 
@@ -112,7 +117,9 @@ def identify(pages: DataFrame, model: Languages | None, id_col: str = "page_id",
     url, html = (F.coalesce(column(c).cast("string"), F.lit("")) for c in (url_col, html_col))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     narrow = pages.select(
-        column(id_col).cast("bigint").alias("page_id"), host.alias("host"), F.regexp_extract(host, r"\.([^.]+)$", 1).alias("suffix"), F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1).alias("domain"),
+        column(id_col).cast("bigint").alias("page_id"), host.alias("host"), 
+        F.when(host.rlike(ADDRESS), "").otherwise(F.regexp_extract(host, r"\.([^.]+)$", 1)).alias("suffix"),
+        F.when(host.rlike(ADDRESS), host).otherwise(F.regexp_extract(host, DOMAIN, 1)).alias("domain"),
         F.lower(F.regexp_extract(html, r"""(?i)<html\b[^>]*?\slang\s*=\s*["']?([a-z]{2,3})""", 1)).alias("declared"), html.alias("html"),
     )
     if model is None:
@@ -131,24 +138,29 @@ def identify(pages: DataFrame, model: Languages | None, id_col: str = "page_id",
     rows = saved(read.withColumn("odds", odds).withColumn("t", F.transform("odds", lambda x: x / F.aggregate("odds", F.lit(0.0), lambda a, y: a + y))).drop("odds"), "page-evidence")
     everything = add_up(rows, n).first()  # one row
     pages_all = everything["n"] or 0.0
-    shares = [(s + 1) / (pages_all + n) for s in everything["sums"]] if pages_all else [1 / n] * n
-    of_all = F.array(*[F.lit(s) for s in shares])
-
-    def telling(name: str) -> DataFrame:
-        """log P(value | language) of a declaration or suffix."""
-        known = add_up(rows.where(F.col(name) != ""), n, name)
-        totals = [s * pages_all + DOUBT for s in shares]
-        logs = F.array(*[F.log((F.col("sums")[i] + DOUBT * F.col("n") / max(pages_all, 1.0)) / totals[i]) for i in range(n)])
-        return small(saved(known.select(name, logs.alias(f"{name}_log")), f"{name}-evidence"))
-
-    domains = add_up(rows, n, "domain").select("domain", F.transform(plus(F.col("sums"), of_all, SMOOTH), lambda x: x / (F.col("n") + SMOOTH)).alias("domain_share"))
-    hosts = saved(add_up(rows, n, "host", "domain").join(domains, "domain").select("host", "sums", F.col("n").alias("host_n"), "domain_share"), "hosts")
-    joined = rows.join(small(hosts), "host").join(telling("declared"), "declared", "left").join(telling("suffix"), "suffix", "left")
-    # the host's other pages, and its domain
-    others = plus(plus(F.col("sums"), F.col("t"), -1.0), F.col("domain_share"), SMOOTH)
-    prior = F.transform(others, lambda x: F.log(F.greatest(x, F.lit(1e-9)) / (F.col("host_n") - 1 + SMOOTH)))
-    zero = F.array(*[F.lit(0.0)] * n)
-    total = plus(plus(plus(F.col("e"), prior), F.coalesce("declared_log", zero)), F.coalesce("suffix_log", zero))
+    counted = F.array(*[F.lit(s if pages_all else 0.0) for s in everything["sums"]])
+
+    def other(sums: Column) -> Column:
+        """What the other pages add up to; a rest of rounding is none."""
+        return F.zip_with(sums, F.col("t"), lambda x, y: F.greatest(x - y, F.lit(0.0)))
+
+    # the languages' shares among the other pages
+    shares = F.transform(other(counted), lambda x: (x + 1) / (pages_all - 1 + n))
+
+    def sums_of(name: str) -> DataFrame:
+        return small(saved(add_up(rows.where(F.col(name) != ""), n, name).select(name, F.col("sums").alias(f"{name}_sums")), f"{name}-evidence"))
+
+    def telling(name: str) -> Column:
+        """log P(value | language) of a declaration or suffix, but for what all languages have in common."""
+        logs = F.zip_with(other(F.col(f"{name}_sums")), F.col("share"), lambda x, s: F.log((x + DOUBT * s) / s))
+        return F.when(F.col(f"{name}_sums").isNotNull(), logs).otherwise(F.array(*[F.lit(0.0)] * n))
+
+    domains = add_up(rows, n, "domain").select("domain", F.col("sums").alias("domain_sums"), F.col("n").alias("domain_n"))
+    hosts = saved(add_up(rows, n, "host", "domain").join(domains, "domain").select("host", F.col("sums").alias("host_sums"), F.col("n").alias("host_n"), "domain_sums", "domain_n"), "hosts")
+    joined = rows.join(small(hosts), "host").join(sums_of("declared"), "declared", "left").join(sums_of("suffix"), "suffix", "left").withColumn("share", shares)
+    domain = F.transform(plus(other(F.col("domain_sums")), F.col("share"), SMOOTH), lambda x: x / (F.col("domain_n") - 1 + SMOOTH))
+    prior = F.transform(plus(other(F.col("host_sums")), domain, SMOOTH), lambda x: F.log(x / (F.col("host_n") - 1 + SMOOTH)))
+    total = plus(plus(plus(F.col("e"), prior), telling("declared")), telling("suffix"))
     names = F.array(*[F.lit(x) for x in model.names])
 
     def best(values: Column) -> Column:

@@ -237,8 +237,11 @@ def left_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, thresh
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """(row, doc_id, sha, class_id, class_rows, kept): one row per input row.
 
-    ``class_id`` is the smallest id of the class; that row stays (of rows that repeat it, the first).
+    ``class_id`` is the smallest id of the class; that row stays (of rows that repeat it, the first). The bands and the
+    least agreement are worked out for ``SIMILARITY``, so a lower ``threshold`` is refused: it would lose links.
     """
+    if threshold < SIMILARITY:
+        raise ValueError(f"the bands find pairs of a similarity of {SIMILARITY} or more, not of {threshold}")
     rows = sketch(docs, id_col, text_col)
     # one node per distinct text: the first of its rows
     nodes = rows.groupBy("sha").agg(F.min("row").alias("node"))

@@ -24,6 +24,7 @@ PATTERNS = (
     ("access", r"AKIA[A-Z0-9]+", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),  # maximal runs of hex digits, of which shorter ones would be dropped
 )
+SHORTEST = 16  # characters of a run that is scored
 RUN = r"[A-Za-z0-9+/_=-]{16,}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 LEAST = 12.0  # natural-log odds below which no run is reported
@@ -127,6 +128,21 @@ def threshold(samples: DataFrame, ratios: DataFrame) -> float:
     return max(LEAST, top if top is not None else LEAST)
 
 
+def pieces(run: Column, taken: Column) -> Column:
+    """What the taken spans, in order of start, leave of a run: the pieces of at least SHORTEST characters."""
+    inside = F.filter(taken, lambda b: (b["start"] < run["end"]) & (run["start"] < b["end"]))
+    stop = F.struct(run["end"].alias("start"), run["end"].alias("end"))
+    borders = F.concat(F.transform(inside, lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"))), F.array(stop))
+
+    def add(acc: Column, b: Column) -> Column:
+        cut = F.struct(acc["at"].alias("start"), b["start"].alias("end"), F.substring(run["run"], acc["at"] - run["start"] + 1, b["start"] - acc["at"]).alias("run"))
+        found = F.when(b["start"] - acc["at"] >= SHORTEST, F.concat(acc["found"], F.array(cut))).otherwise(acc["found"])
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), found.alias("found"))
+
+    zero = F.struct(run["start"].alias("at"), F.array().cast("array<struct<start:int,end:int,run:string>>").alias("found"))
+    return F.aggregate(borders, zero, add)["found"]
+
+
 def find_secrets(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, spans): one row per input row; spans are array<struct<start,end,kind,rank>> in order of start, then kind."""
     text = F.coalesce(column(text_col).cast("string"), F.lit(""))
@@ -137,14 +153,13 @@ def find_secrets(docs: DataFrame, samples: DataFrame, id_col: str = "doc_id", te
         return F.transform(found, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
 
     base_spans = F.concat(*[named(rank, *p) for rank, p in enumerate(PATTERNS)])
-    runs = F.transform(matches(F.col("text"), RUN, 0, 16), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("run")))
+    runs = F.transform(matches(F.col("text"), RUN, 0, SHORTEST), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]).alias("run")))
     base = saved(rows.select("row", "doc_id", base_spans.alias("base"), runs.alias("runs")), "secret-spans")
     samples = saved(samples, "samples")
     ratios = markov_ratios(samples)
     if ratios is None:
         return base.select("row", "doc_id", F.array_sort("base").alias("spans"))
-    free = F.filter("runs", lambda r: ~F.exists("base", lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
-    each = base.select("row", F.explode(free).alias("r")).select("row", "r.start", "r.end", "r.run")
+    each = base.select("row", F.explode(F.flatten(F.transform("runs", lambda r: pieces(r, F.array_sort("base"))))).alias("r")).select("row", "r.start", "r.end", "r.run")
     drawn = scored(each, ratios, "row", "start", "end").where(F.col("score") > threshold(samples, ratios))
     more = drawn.groupBy("row").agg(F.collect_list(F.struct("start", F.lit(len(PATTERNS)).alias("rank"), "end", F.lit("markov").alias("kind"))).alias("more"))
     return base.join(more, "row", "left").select("row", "doc_id", F.array_sort(F.when(F.col("more").isNull(), F.col("base")).otherwise(F.concat("base", "more"))).alias("spans"))
