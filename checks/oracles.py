@@ -149,10 +149,7 @@ for _k in ("S9_recording_headers_file", "A11_recording_header", "L5_list_recordi
 # ---------------------------------------------------------------- generated data
 def draw(key: str, salt: int, n: int | str, seed: int = 42) -> str:
     """The generator's number rule, spelled in SQL."""
-    p = 2147483647
-    h1 = f"((({key}) % {p} * 48271 + {(seed * 69621 + salt * 16807) % p}) % {p})"
-    h2 = f"(({h1} * {h1} + 1013904223) % {p})"
-    return f"((({h2} * 48271 + {salt}) % {p}) % ({n}))"
+    return f"(CAST('0x' || left(md5('{seed}:' || CAST({key} AS VARCHAR) || ':{salt}'), 15) AS BIGINT) % ({n}))"
 
 
 def pick(values, key: str, salt: int) -> str:
@@ -225,12 +222,6 @@ oracle(
         f"SELECT '{n}' AS entity, count(*) AS raw_rows, CAST(0 AS BIGINT) AS masked_rows, count(*) = 0 AS equal FROM gen_{n}" for n in ENTITY_ORDER
     ),
 )
-oracle(
-    "C4_full_run",
-    """SELECT * FROM (VALUES (0, 'reset: clear log, empty masked side, seed raw side', 'done'), (1, 'copy: every entity in pages', 'done'),
-    (2, 'append new customers to the raw side', 'done'), (3, 'incremental sync: only the new rows cross', 'done'),
-    (4, 'verify the transfer', 'done')) t(step_no, name, status)""",
-)
 oracle(
     "G2_allocate_ids",
     "SELECT (SELECT max(id) FROM bank_transactions) + row_number() OVER (ORDER BY id) AS id, account_id, id AS place FROM bank_cards",
@@ -625,3 +616,52 @@ oracle(
     ),
 )
 oracle("T6_stream_counts", "SELECT b AS batch, " + ", ".join(f"(SELECT count(*) FROM bank_{n}) AS {n}" for n in ENTITY_ORDER) + " FROM (SELECT unnest([0, 1]) AS b) t")
+
+# ---------------------------------------------------------------- a run over the given tables
+_TOTALS = {n: f"(SELECT count(*) FROM bank_{n})" for n in ENTITY_ORDER}
+oracle(
+    "C4_full_run",
+    " UNION ALL ".join(f"SELECT 'copy' AS part, '{n}' AS name, {t} AS received, {t} AS inserted, CAST(0 AS BIGINT) AS skipped, CAST(NULL AS BOOLEAN) AS ok FROM (SELECT 1) x" for n, t in _TOTALS.items())
+    + f""" UNION ALL SELECT 'check', c, NULL, NULL, NULL, ok FROM (
+      SELECT 'every request got a reply' AS c, true AS ok UNION ALL SELECT 'nothing left unread on the bus', true
+      UNION ALL SELECT 'no raw SSN or card number crossed the wire', true
+      UNION ALL SELECT 'test holds the same row counts as prod', true
+      UNION ALL SELECT 'every sensitive column in test is masked', {" AND ".join(f"NOT EXISTS (SELECT 1 FROM masked_{e} WHERE {bad})" for e, bad in _BAD.items())}) v""",
+)
+
+# ---------------------------------------------------------------- copies compared by digests, raw values by value
+oracle("J3_missing_by_digests", "SELECT id FROM bank_transactions WHERE account_id % 10 = 0")
+oracle(
+    "A5_differences",
+    """SELECT id, 'only left' AS difference FROM masked_cards WHERE id % 97 = 0 UNION ALL SELECT id + (SELECT max(id) FROM masked_cards), 'only right' FROM masked_cards WHERE id % 89 = 1
+    UNION ALL SELECT id, 'changed' FROM masked_cards WHERE id % 97 <> 0 AND id % 83 = 0 AND status <> 'closed'""",
+)
+oracle(
+    "A5_reconcile",
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS entity, count(*) FILTER (id NOT IN (SELECT id FROM early_{n})) AS only_left, CAST(0 AS BIGINT) AS only_right, CAST(0 AS BIGINT) AS changed FROM masked_{n}" for n in ENTITY_ORDER
+    ),
+)
+CTES["value_bodies"] = """SELECT id * 4 AS id, '{"note":"card ' || CASE WHEN id % 3 = 0 THEN left(card_number, 4) || ' ' || substr(card_number, 5, 4) || '-' || substr(card_number, 9, 8) WHEN id % 3 = 1 THEN card_number ELSE '4000 **** **** 1234' END
+    || ', since 2024-01-01"}' AS body FROM bank_cards
+  UNION ALL SELECT id * 4 + 1, 'ssn ' || CASE WHEN id % 2 = 0 THEN replace(ssn, '-', '') ELSE '***-**-' || right(ssn, 4) END || '.' FROM bank_customers
+  UNION ALL SELECT id * 4 + 2, 'from ' || CASE WHEN id % 5 = 0 THEN account_number || ' ' || routing_number ELSE '****' || right(account_number, 4) END || ' to 12' FROM bank_accounts"""
+CTES["value_raw"] = " UNION ".join(
+    f"SELECT '{t}.{c}' AS column_name, regexp_replace({c}, '[^0-9]', '', 'g') AS digits FROM bank_{t} WHERE length(regexp_replace({c}, '[^0-9]', '', 'g')) >= 9"
+    for t, c in (("customers", "ssn"), ("accounts", "account_number"), ("accounts", "routing_number"), ("cards", "card_number"))
+)
+oracle(
+    "A4_leaks_by_value",
+    """WITH runs AS (SELECT id, regexp_replace(unnest(regexp_extract_all(body, '[0-9]([ -]?[0-9])*')), '[ -]', '', 'g') AS run FROM value_bodies),
+    windows AS (SELECT DISTINCT id, substr(run, CAST(i AS INT), CAST(size AS INT)) AS digits FROM runs, (SELECT DISTINCT length(digits) AS size FROM value_raw) s, unnest(range(1, greatest(length(run) - size + 2, 1))) AS t(i))
+    SELECT id, column_name, digits FROM windows JOIN value_raw USING (digits)""",
+)
+
+# ---------------------------------------------------------------- Python data sources
+oracle("S9_recording_documents", "SELECT rec_id, t_ms, event, data, h.* EXCLUDE (rec_id) FROM recording_events JOIN headers h USING (rec_id)")
+_HALF = "(SELECT max(id) // 2 FROM bus_messages)"
+oracle(
+    "J9_stream_changes",
+    f"""SELECT 'message' AS change, id, CASE WHEN id > {_HALF} OR id % 5 <> 0 THEN consumed_at END AS consumed_at FROM bus_messages
+    UNION ALL SELECT 'consumed', id, consumed_at FROM bus_messages WHERE id <= {_HALF} AND id % 5 = 0 AND consumed_at IS NOT NULL""",
+)

@@ -12,14 +12,14 @@ from pyspark.sql import types as T
 
 from veilframe.functions import masks as M
 from veilframe.functions import text as X
-from veilframe.operators import audit, bus, generate, loads, reads, traces
+from veilframe.operators import audit, bus, generate, loads, reads, reconcile, traces, value_leaks
 from veilframe.operators.ordered import allocate_ids, kth_occurrence
 from veilframe.plans import full_run as runs
 from veilframe.plans import sync
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity
 from veilframe.session import materialize, scratch_dir
 from veilframe.sources import messages as log
-from veilframe.sources import snapshots, traces as trace_files
+from veilframe.sources import recording_writer, snapshots, traces as trace_files
 from veilframe.sources.fixtures import bank, bank_tables, driver_table, fixture
 from veilframe.sources.position_index import PositionIndex
 from veilframe.streaming import flows
@@ -201,6 +201,14 @@ def _(spark, sf):
     return headers
 
 
+@query("S9_recording_documents")
+def _(spark, sf):
+    root = scratch_dir(spark, "documents")
+    recording_writer.write_recording_documents(_headers(spark, sf), fixture(spark, sf, "recording_events"), root)
+    headers, events = trace_files.read_recording_documents(spark, root)
+    return events.join(headers, "rec_id")
+
+
 def _new_ids(spark, sf) -> DataFrame:
     """Ids of customers to be generated: one per driver customer."""
     return driver_table(spark, sf, "customer").select((F.col("c_custkey") + 1).alias("id"))
@@ -362,6 +370,12 @@ def _(spark, sf):
     return loads.missing_ids(raw, held)
 
 
+@query("J3_missing_by_digests")
+def _(spark, sf):
+    raw = bank(spark, sf, "transactions")
+    return reconcile.missing(raw, raw.where(F.col("account_id") % 10 != 0))
+
+
 @query("J4_insert_if_absent")
 def _(spark, sf):
     accounts = M.mask_table(bank(spark, sf, "accounts"), "accounts")
@@ -425,6 +439,25 @@ def _answers(spark, sf, name: str) -> DataFrame:
     return answers.select("request_id", "ok", "entity", "n_rows", "first_id", "last_id", F.md5("body").alias("body_md5"))
 
 
+@query("J9_stream_changes")
+def _(spark, sf):
+    """The log as it was, then after a restart as it is, with marks for what has been read meanwhile."""
+    current = fixture(spark, sf, "bus_messages")
+    path, marks, out, checkpoint = (scratch_dir(spark, n) for n in ("log", "marks", "changes", "j9"))
+    before = lower_half(current)
+    late = F.col("id") % 5 == 0
+    spark.createDataFrame([], log.MARK_SCHEMA).write.parquet(marks)
+    for part, read in (
+        (before.withColumn("consumed_at", F.when(~late, F.col("consumed_at"))), None),
+        (current.join(before.select("id"), "id", "left_anti"), before.where(late & F.col("consumed_at").isNotNull())),
+    ):
+        log.append_messages(part, path)
+        if read is not None:
+            read.select("id", "consumed_at").write.mode("append").parquet(marks)
+        flows.stream_changes(spark, path, marks, out, checkpoint, None).awaitTermination()
+    return spark.read.parquet(out).select("change", "id", "consumed_at")
+
+
 @query("J10_answer_requests")
 def _(spark, sf):
     return _answers(spark, sf, "bus_messages")
@@ -474,6 +507,40 @@ def _(spark, sf):
     return audit.count_diff(raw, earlier(raw))
 
 
+@query("A5_differences")
+def _(spark, sf):
+    """A copy that lacks rows, has rows of its own and holds others with another status."""
+    cards = M.mask_table(bank(spark, sf, "cards"), "cards")
+    top = cards.agg(F.max("id")).scalar()
+    own = cards.where(F.col("id") % 89 == 1).withColumn("id", F.col("id") + top)
+    changed = F.when(F.col("id") % 83 == 0, "closed").otherwise(F.col("status"))
+    copy = cards.where(F.col("id") % 97 != 0).withColumn("status", changed).unionByName(own)
+    return reconcile.differences(cards, copy, entity("cards").columns)
+
+
+@query("A5_reconcile")
+def _(spark, sf):
+    masked = masked_tables(spark, sf)
+    return reconcile.reconcile(masked, earlier(masked))
+
+
+@query("A4_leaks_by_value")
+def _(spark, sf):
+    """Messages with masked values, and with raw ones that are spaced, dashed or bare."""
+    raw = bank_tables(spark, sf)
+    card = F.col("card_number")
+    spaced = F.concat(F.left(card, F.lit(4)), F.lit(" "), F.substring(card, 5, 4), F.lit("-"), F.substring(card, 9, 8))
+    card = F.when(F.col("id") % 3 == 0, spaced).when(F.col("id") % 3 == 1, card).otherwise("4000 **** **** 1234")
+    ssn = F.when(F.col("id") % 2 == 0, F.replace("ssn", F.lit("-"), F.lit(""))).otherwise(F.concat(F.lit("***-**-"), F.right("ssn", F.lit(4))))
+    number = F.when(F.col("id") % 5 == 0, F.concat("account_number", F.lit(" "), "routing_number")).otherwise(F.concat(F.lit("****"), F.right("account_number", F.lit(4))))
+    bodies = union([
+        raw["cards"].select((F.col("id") * 4).alias("id"), F.concat(F.lit('{"note":"card '), card, F.lit(', since 2024-01-01"}')).alias("body")),
+        raw["customers"].select((F.col("id") * 4 + 1).alias("id"), F.concat(F.lit("ssn "), ssn, F.lit(".")).alias("body")),
+        raw["accounts"].select((F.col("id") * 4 + 2).alias("id"), F.concat(F.lit("from "), number, F.lit(" to 12")).alias("body")),
+    ])
+    return value_leaks.leaks_by_value(bodies, raw)
+
+
 @query("A6_mask_audit")
 def _(spark, sf):
     return audit.mask_audit(masked_tables(spark, sf))
@@ -724,8 +791,15 @@ def _(spark, sf):
 
 @query("C4_full_run")
 def _(spark, sf):
-    steps, _summary = runs.full_run(spark, scratch_dir(spark, "run"), _new_ids(spark, sf), append=3, now=NOW)
-    return steps.drop("detail")
+    """What was copied of each entity, and whether each check of the transfer holds."""
+    raw, masked, path = bank_tables(spark, sf), store_at(spark, "run"), scratch_dir(spark, "log")
+    stored = {n: materialize(df, f"raw-{n}") for n, df in raw.items()}
+    copied = sync.copy_paged(stored, masked, max_pages=None, log=path)
+    checks = audit.verify_transfer(log.read_messages(spark, path), stored, masked.read_all())
+    none = F.lit(None).cast("bigint")
+    return copied.select(F.lit("copy").alias("part"), F.col("entity").alias("name"), "received", "inserted", "skipped", F.lit(None).cast("boolean").alias("ok")).unionByName(
+        checks.select(F.lit("check").alias("part"), "name", none.alias("received"), none.alias("inserted"), none.alias("skipped"), "ok")
+    )
 
 
 def _generated(name: str) -> None:

@@ -41,20 +41,16 @@ CITIES = (
 STREETS = ("Oak St", "Main St", "Hill Rd", "Lake Ave", "Park Blvd", "River Rd", "Elm St", "Mill Ln")
 MAIL_DOMAINS = ("mail.example.com", "post.example.org", "inbox.example.net")
 
-PRIME = 2147483647
+DRAWN_DIGITS = 15  # hexadecimal
 DAY = 86400
 SIX_YEARS = 6 * 365 * DAY
 MONTH = 30 * DAY
 
 
 def draw(key: Column, seed: int, salt: int, n: Column | int) -> Column:
-    """A repeatable number in [0, n): multiply, square and multiply modulo a prime, all in bigint.
-
-    The key appears twice in the expression and no more, which keeps a row of draws cheap to plan.
-    """
-    h = (key % PRIME * 48271 + (seed * 69621 + salt * 16807) % PRIME) % PRIME
-    h = (h * h + 1013904223) % PRIME
-    return ((h * 48271 + salt) % PRIME) % n
+    """A repeatable number in [0, n): the first sixty bits of the MD5 of seed, key and salt, so no period is ever seen."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string"), F.lit(f":{salt}")))
+    return F.conv(F.left(digest, F.lit(DRAWN_DIGITS)), 16, 10).cast("bigint") % n
 
 
 def _pick(values: tuple, key: Column, seed: int, salt: int) -> Column:

@@ -113,7 +113,7 @@ def classify_load(
     where the adaptive plan splits an id that arrives very often.
     """
     ent = lookup(entity)
-    report = constraint_report(incoming, entity)
+    report = materialize(constraint_report(incoming, entity), "load-report")  # read by each of the steps below
     if ent.parent_key is not None and parents is not None:
         lost = missing_parents(report.where(F.col("reason").isNull()), parents, ent.parent_key)
         lost = lost.select(F.col("id").alias(ent.parent_key), F.lit(True).alias("_orphan"))
@@ -153,7 +153,9 @@ def insert_if_absent(incoming: DataFrame, existing: DataFrame, entity: str, orde
     """
     first = incoming.groupBy("id").agg(F.min(order).alias(order))
     fresh = first.join(existing.select("id"), "id", "left_anti")
-    return incoming.join(fresh, ["id", order], "left_semi").select(*lookup(entity).columns)
+    # joined on id alone, on which the smallest numbers were found and are still dealt out
+    met = incoming.join(fresh.select("id", F.col(order).alias("_first")), "id")
+    return met.where(F.col(order) == F.col("_first")).select(*lookup(entity).columns)
 
 
 def accepted(decided: DataFrame, entity: str) -> DataFrame:

@@ -23,6 +23,7 @@ from veilframe.operators.loads import MISSING_PARENT, accepted, classify_load
 from veilframe.operators.traces import is_fault, trace_filter
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity as lookup
 from veilframe.session import materialize
+from veilframe.sources.bus_tail import tail
 from veilframe.sources.messages import append_messages, mark_read, normalise_messages
 from veilframe.sources.position_index import PositionIndex
 from veilframe.sources.snapshots import SnapshotStore
@@ -179,6 +180,16 @@ def close_pairing(emitted: DataFrame, requests: DataFrame) -> DataFrame:
     return emitted.select("request_id", "reply_id").unionByName(left.withColumn("reply_id", F.lit(None).cast("bigint")))
 
 
+def stream_changes(
+    spark: SparkSession, log: str, marks: str, out: str, checkpoint: str, interval: int | None = DEFAULT_INTERVAL
+) -> StreamingQuery:
+    """Follow the bus: each batch's changes (``tail``) in a folder of its own below ``out``, written again if it is run again."""
+    def each(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _start(tail(spark, log, marks), each, checkpoint, interval)
+
+
 def live_bus_stats(messages: DataFrame) -> DataFrame:
     """Running counters of the log, leaks included: one row in complete mode."""
     return messages.agg(*bus_aggregates())
