@@ -535,17 +535,19 @@ oracle("W2_page_plan", pages("transactions", 30))
 oracle("W2_page_plan_customers", pages("customers", 500))
 oracle("W3_next_unread", "SELECT * FROM bus_messages WHERE id IN (SELECT min(id) FROM bus_messages WHERE consumed_at IS NULL GROUP BY recipient)")
 oracle("W4_kth_occurrence", "SELECT event_id AS id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events")
-oracle(
-    "W5_trace_cycles",
-    f"""SELECT agent, cycle, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS events, count(*) FILTER (type = 'tool_execution_start') AS tools,
+for _k in ("W5_trace_cycles", "T7_stream_cycles"):
+    oracle(
+        _k,
+        f"""SELECT agent, cycle, min(seq) AS first_seq, max(seq) AS last_seq, count(*) AS events, count(*) FILTER (type = 'tool_execution_start') AS tools,
     count(*) FILTER ({_FAULT}) AS errors, bool_or(type = 'agent_end') AS ended
     FROM (SELECT *, count(*) FILTER (type = 'agent_start') OVER (PARTITION BY agent ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cycle FROM trace_events) t GROUP BY agent, cycle""",
-)
-oracle(
-    "W6_model_changes",
-    """SELECT agent, seq, model, previous FROM (SELECT *, lag(model) OVER (PARTITION BY agent ORDER BY seq) AS previous FROM trace_events
+    )
+for _k in ("W6_model_changes", "T7_stream_model_changes"):
+    oracle(
+        _k,
+        """SELECT agent, seq, model, previous FROM (SELECT *, lag(model) OVER (PARTITION BY agent ORDER BY seq) AS previous FROM trace_events
     WHERE type = 'message_end' AND role = 'assistant' AND model IS NOT NULL) t WHERE model IS DISTINCT FROM previous""",
-)
+    )
 oracle("L1_first_n_by_id", "SELECT * FROM bank_transactions ORDER BY id LIMIT 30")
 oracle("L2_history", "SELECT * FROM (SELECT * FROM bus_messages ORDER BY id DESC LIMIT 500) t")
 oracle("L3_keep_last", "SELECT seq, agent, type FROM trace_events ORDER BY seq DESC LIMIT 300")

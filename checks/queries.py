@@ -22,7 +22,7 @@ from veilframe.sources import messages as log
 from veilframe.sources import recording_writer, snapshots, traces as trace_files
 from veilframe.sources.fixtures import bank, bank_tables, driver_table, fixture
 from veilframe.sources.position_index import PositionIndex
-from veilframe.streaming import flows
+from veilframe.streaming import cycles, flows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -91,6 +91,15 @@ def as_files(df: DataFrame, purpose: str, files: int = 4, order: str = "id") ->
     return path
 
 
+def in_turn(df: DataFrame, purpose: str, parts: int = 4, order: str = "id") -> str:
+    """Write an input one range after the other, as it would come in, so that the files' order is the events'."""
+    path, top = scratch_dir(df.sparkSession, purpose), df.agg(F.max(order)).first()[0] + 1
+    for k in range(parts):
+        part = df.where((F.col(order) >= top * k // parts) & (F.col(order) < top * (k + 1) // parts))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 # ---------------------------------------------------------------- scans, sources, sinks
 def _read_entity(name: str) -> None:
     @query(f"S1_read_entity_{name}")
@@ -878,7 +887,7 @@ def _(spark, sf):
 @query("T4_stream_pairing")
 def _(spark, sf):
     messages = fixture(spark, sf, "bus_messages")
-    path, out = as_files(messages, "messages"), scratch_dir(spark, "pairs")
+    path, out = in_turn(messages, "messages"), scratch_dir(spark, "pairs")
     flows.stream_pairing(_stream(spark, path, MESSAGE_SCHEMA), out, scratch_dir(spark, "t4"), interval=None).awaitTermination()
     emitted = spark.read.schema("request_id BIGINT, reply_id BIGINT").parquet(out)
     return flows.close_pairing(emitted, messages)
@@ -907,3 +916,21 @@ def _(spark, sf):
     out = scratch_dir(spark, "trace-stats")
     flows.stream_trace(_stream(spark, path, lines.schema), out, scratch_dir(spark, "t7"), None).awaitTermination()
     return flows.latest(spark, out)
+
+
+def _streamed_cycles(spark, sf) -> tuple[str, str]:
+    lines = fixture(spark, sf, "trace_lines")
+    path = in_turn(lines, "traces", order="seq")
+    state, out = scratch_dir(spark, "cycles-open"), scratch_dir(spark, "cycles")
+    flows.stream_cycles(_stream(spark, path, lines.schema), state, out, scratch_dir(spark, "t7"), None).awaitTermination()
+    return state, out
+
+
+@query("T7_stream_cycles")
+def _(spark, sf):
+    return cycles.all_cycles(spark, *_streamed_cycles(spark, sf))
+
+
+@query("T7_stream_model_changes")
+def _(spark, sf):
+    return cycles.all_model_changes(spark, _streamed_cycles(spark, sf)[1])

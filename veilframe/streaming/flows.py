@@ -28,6 +28,7 @@ from veilframe.sources.messages import append_messages, mark_read, normalise_mes
 from veilframe.sources.position_index import PositionIndex
 from veilframe.sources.snapshots import SnapshotStore
 from veilframe.sources.traces import parse_trace
+from veilframe.streaming.cycles import cycle_batch
 from veilframe.streaming.pairing import pair_batch
 
 # Seconds between automatic copies and how long a requester waits.
@@ -246,3 +247,8 @@ def live_trace_stats(lines: DataFrame) -> DataFrame:
 def stream_trace(lines: DataFrame, out: str, checkpoint: str, interval: int | None = DEFAULT_INTERVAL) -> StreamingQuery:
     """Keep the counters, one row per agent, in a shared folder."""
     return _keep_latest(live_trace_stats(lines), out, checkpoint, interval)
+
+
+def stream_cycles(lines: DataFrame, state: str, out: str, checkpoint: str, interval: int | None = DEFAULT_INTERVAL) -> StreamingQuery:
+    """Follow traces: cycles that end and changes of the model, in a folder a batch below ``out``."""
+    return _start(lines, lambda batch, n: cycle_batch(parse_trace(batch), state, out, n), checkpoint, interval)
