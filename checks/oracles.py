@@ -667,3 +667,5 @@ oracle(
     f"""SELECT 'message' AS change, id, CASE WHEN id > {_HALF} OR id % 5 <> 0 THEN consumed_at END AS consumed_at FROM bus_messages
     UNION ALL SELECT 'consumed', id, consumed_at FROM bus_messages WHERE id <= {_HALF} AND id % 5 = 0 AND consumed_at IS NOT NULL""",
 )
+oracle("L3_compacted_log", "SELECT * FROM bus_messages ORDER BY id DESC LIMIT 500")
+oracle("L4_retained_documents", "SELECT * FROM headers ORDER BY rec_id DESC LIMIT 30")

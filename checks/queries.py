@@ -15,7 +15,7 @@ from veilframe.functions import text as X
 from veilframe.operators import audit, bus, generate, loads, reads, reconcile, traces, value_leaks
 from veilframe.operators.ordered import allocate_ids, kth_occurrence
 from veilframe.plans import full_run as runs
-from veilframe.plans import sync
+from veilframe.plans import retention, sync
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity
 from veilframe.session import materialize, scratch_dir
 from veilframe.sources import messages as log
@@ -666,6 +666,29 @@ def _(spark, sf):
     return reads.retain_recordings(_facts(spark, sf)).select("rec_id", "kept")
 
 
+@query("L3_compacted_log")
+def _(spark, sf):
+    """A log of which the newest messages are kept while a stream follows it."""
+    path, marks, out, checkpoint = (scratch_dir(spark, n) for n in ("log", "marks", "changes", "l3"))
+    spark.createDataFrame([], log.MARK_SCHEMA).write.parquet(marks)
+    messages = fixture(spark, sf, "bus_messages")
+    before = lower_half(messages)
+    for part in (before, messages.join(before.select("id"), "id", "left_anti")):
+        log.append_messages(part, path)
+        flows.stream_changes(spark, path, marks, out, checkpoint, None).awaitTermination()
+        passed = spark.read.parquet(out).where("change = 'message'").agg(F.max("id")).first()[0]
+        retention.compact_log(spark, path, passed, retention.last_rows(reads.HISTORY_KEEP))
+    return log.read_messages(spark, path)
+
+
+@query("L4_retained_documents")
+def _(spark, sf):
+    root = scratch_dir(spark, "documents")
+    recording_writer.write_recording_documents(_headers(spark, sf), fixture(spark, sf, "recording_events"), root)
+    retention.retain_documents(spark, root)
+    return trace_files.read_recording_documents(spark, root)[0]
+
+
 @query("L5_list_recordings")
 def _(spark, sf):
     return reads.list_recordings(_headers(spark, sf))

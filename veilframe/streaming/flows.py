@@ -21,6 +21,7 @@ from veilframe.operators.audit import bus_aggregates, row_counts
 from veilframe.operators.bus import REPLY_ID_BASE, answer_requests, load_replies, reply_messages, summarize_loads
 from veilframe.operators.loads import MISSING_PARENT, accepted, classify_load
 from veilframe.operators.traces import is_fault, trace_filter
+from veilframe.plans.retention import retain_batches
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity as lookup
 from veilframe.session import materialize
 from veilframe.sources.bus_tail import tail
@@ -197,9 +198,10 @@ def live_bus_stats(messages: DataFrame) -> DataFrame:
 
 
 def _keep_latest(stats: DataFrame, out: str, checkpoint: str, interval: int | None) -> StreamingQuery:
-    """Write a small running result after each batch, as one file in the batch's own folder below ``out``."""
+    """Write a small running result after each batch, as one file in the batch's own folder below ``out``; older ones go."""
     def each(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        retain_batches(batch.sparkSession, out)
 
     writer = stats.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint)
     return _triggered(writer, interval).start()
