@@ -669,3 +669,8 @@ oracle(
 )
 oracle("L3_compacted_log", "SELECT * FROM bus_messages ORDER BY id DESC LIMIT 500")
 oracle("L4_retained_documents", "SELECT * FROM headers ORDER BY rec_id DESC LIMIT 30")
+oracle(
+    "F1_canonical_json_exact",
+    """SELECT id, '{"big":12345678901234567000,"id":' || id || ',"m":' || body || ',"z":0,"' || chr(128512) || '":' || id || '.5,"' || chr(65533) || '":1e+21}' AS canonical
+    FROM bus_messages WHERE sender = 'test'""",
+)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions import masks as M
 from veilframe.functions import text as X
+from veilframe.functions.canonical import canonical_json_exact
 from veilframe.operators import audit, bus, generate, loads, reads, reconcile, traces, value_leaks
 from veilframe.operators.ordered import allocate_ids, kth_occurrence
 from veilframe.plans import full_run as runs
@@ -702,6 +703,17 @@ def _(spark, sf):
     return messages.select("id", X.canonical_json(doc).alias("canonical"))
 
 
+@query("F1_canonical_json_exact")
+def _(spark, sf):
+    """Requests in documents with keys beyond the basic plane, fractions, a negative zero and long numbers."""
+    messages = fixture(spark, sf, "bus_messages").where(F.col("sender") == "test")
+    number = F.col("id").cast("string")
+    doc = F.concat(
+        F.lit('{"\ufffd":1e21,"\U0001f600":'), number, F.lit('.50,"z":-0.0,"big":12345678901234567890,"m":'), "body", F.lit(',"id":'), number, F.lit("}")
+    )
+    return messages.select("id", canonical_json_exact(doc).alias("canonical"))
+
+
 @query("F2_json_rows_len")
 def _(spark, sf):
     return fixture(spark, sf, "bus_messages").select("id", X.json_rows_len(F.col("body")).alias("n_rows"))
