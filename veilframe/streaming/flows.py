@@ -11,7 +11,7 @@ from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
@@ -37,6 +37,7 @@ DEFAULT_INTERVAL = 60
 MIN_INTERVAL = 10
 MAX_INTERVAL = 3600
 REPLY_TIMEOUT = 180
+PATIENCE = 86_400  # seconds that a child waits for its parent
 REPLY_LATENESS = 60  # seconds that a message may come after later ones
 
 
@@ -65,30 +66,60 @@ def within(rows: DataFrame, batch: DataFrame, key: str, of: str = "id") -> DataF
     return rows.where(F.col(of).between(low, high)) if low is not None else rows.limit(0)
 
 
-def copy_batch(batch: DataFrame, entity: str, store: SnapshotStore, rejects: str | None = None, batch_id: int = 0) -> None:
+def _left_over(spark: SparkSession, folder: str, batch_id: int, schema: str) -> DataFrame:
+    """What the batch before left below ``folder``."""
+    try:
+        return spark.read.schema(schema).parquet(f"{folder}/batch={batch_id - 1}")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def _still_in_time(patience: int) -> Column:
+    return F.unix_seconds(F.col("_since")) > F.unix_seconds(F.current_timestamp()) - patience
+
+
+def copy_batch(
+    batch: DataFrame, entity: str, store: SnapshotStore, rejects: str | None = None, batch_id: int = 0,
+    waiting: str | None = None, patience: int = PATIENCE,
+) -> None:
     """Append the rows of a batch that the masked copy lacks, that keep its rules and whose parent it has.
 
-    Of rows that share an id the first that may be loaded stays. What is skipped goes, with its
-    reason, to ``rejects``; a replayed batch writes its own folder there again.
+    Of rows that share an id the first that may be loaded stays. With a ``waiting`` folder, masked rows whose parent
+    has not come are tried again with each batch for ``patience`` seconds. What is skipped for good goes, with its
+    reason, to ``rejects``; a replayed batch writes its own folders there again.
     """
     ent = lookup(entity)
     store.refresh()
-    rows = mask_table(batch.select(*ent.columns), entity).withColumn("_arrival", F.monotonically_increasing_id())
-    rows = materialize(rows, "stream-rows")
+    rows = mask_table(batch.select(*ent.columns), entity).withColumn("_since", F.current_timestamp())
+    if waiting and batch_id:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ent.schema) + ", _since TIMESTAMP"
+        rows = _left_over(batch.sparkSession, waiting, batch_id, schema).unionByName(rows)
+    rows = materialize(rows.withColumn("_arrival", F.monotonically_increasing_id()), "stream-rows")
     parents = within(store.read(ent.parent), rows, ent.parent_key) if ent.parent else None
     decided = materialize(classify_load(rows, within(store.read(entity), rows, "id"), entity, "_arrival", parents), "stream-load")
     store.append(entity, accepted(decided, entity))
+    skipped = decided.where(F.col("outcome") == "skipped")
+    if waiting:
+        early = (F.col("reason") == MISSING_PARENT) & _still_in_time(patience)
+        skipped = materialize(skipped.withColumn("_early", early), "stream-skipped")
+        skipped.where("_early").select(*ent.columns, "_since").write.mode("overwrite").parquet(f"{waiting}/batch={batch_id}")
+        skipped = skipped.where("NOT _early")
+        retain_batches(batch.sparkSession, waiting)
     if rejects:
-        skipped = decided.where(F.col("outcome") == "skipped").select(*ent.columns, "reason")
-        skipped.write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        skipped.select(*ent.columns, "reason").write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 
 
 def stream_masked_copy(
     stream: DataFrame, entity: str, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL,
-    rejects: str | None = None,
+    rejects: str | None = None, waiting: str | None = None, patience: int = PATIENCE,
 ) -> StreamingQuery:
-    """Continuous masked append of an entity's new rows."""
-    return _start(stream, lambda batch, n: copy_batch(batch, entity, store, rejects, n), checkpoint, interval)
+    """Continuous masked append of an entity's new rows. Rows that wait and rows that are rejected are kept beside the
+    checkpoint unless folders are named."""
+    beside = checkpoint.rstrip("/")
+    rejects, waiting = rejects or f"{beside}-rejects", waiting or f"{beside}-waiting"
+    return _start(stream, lambda batch, n: copy_batch(batch, entity, store, rejects, n, waiting, patience), checkpoint, interval)
 
 
 def _existing_messages(batch: DataFrame, path: str) -> DataFrame:
@@ -129,18 +160,24 @@ def stream_answer(
 
 
 def load_batch(
-    batch: DataFrame, store: SnapshotStore, log: str | None = None, batch_id: int = 0, marks: str | None = None
+    batch: DataFrame, store: SnapshotStore, log: str | None = None, batch_id: int = 0, marks: str | None = None, patience: int = PATIENCE
 ) -> None:
     """Load the ok replies of a batch, parents first.
 
     With a ``log`` folder, each batch leaves there what became of every reply (``report``), and the replies
-    with a child whose parent has not come yet (``waiting``), which the next batch tries again: rows
-    that are there by then only count as conflicts.
+    with a child whose parent has not come yet (``waiting``), which the next batches try again: rows
+    that are there by then only count as conflicts. After ``patience`` seconds a reply is tried no more and its rows
+    without a parent are named in ``given_up``.
     """
+    spark = batch.sparkSession
     store.refresh()
     replies = normalise_messages(batch.where(F.col("sender") == "prod"))
+    kept = spark.createDataFrame([], "id BIGINT, _since TIMESTAMP")
     if log and batch_id:
-        replies = replies.unionByName(_existing_messages(batch, f"{log}/waiting/batch={batch_id - 1}")).dropDuplicates(["id"])
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in MESSAGE_SCHEMA) + ", _since TIMESTAMP"
+        left = _left_over(spark, f"{log}/waiting", batch_id, schema)
+        kept = left.select("id", "_since")
+        replies = replies.unionByName(left.drop("_since")).dropDuplicates(["id"])
     replies = materialize(replies, "stream-replies")
     decided = load_replies(replies, store.read_all())
     for name in ENTITY_ORDER:
@@ -149,17 +186,26 @@ def load_batch(
         mark_read(replies, marks)
     if log:
         summarize_loads(decided, "reply_id").write.mode("overwrite").parquet(f"{log}/report/batch={batch_id}")
-        early = [d.where(F.col("reason") == MISSING_PARENT).select(F.col("reply_id").alias("id")) for d in decided.values()]
-        again = replies.join(reduce(DataFrame.unionByName, early).distinct(), "id", "left_semi").select(*replies.columns)
+        early = reduce(DataFrame.unionByName, [
+            d.where(F.col("reason") == MISSING_PARENT).select(F.col("reply_id"), F.lit(name).alias("entity"), F.col("id").cast("string").alias("row_id"))
+            for name, d in decided.items()
+        ])
+        early = materialize(early.join(kept.withColumnRenamed("id", "reply_id"), "reply_id", "left").withColumn("_since", F.coalesce("_since", F.current_timestamp())), "stream-early")
+        in_time = early.where(_still_in_time(patience))
+        early.where(~_still_in_time(patience)).select("reply_id", "entity", "row_id").write.mode("overwrite").parquet(f"{log}/given_up/batch={batch_id}")
+        again = replies.join(in_time.groupBy(F.col("reply_id").alias("id")).agg(F.min("_since").alias("_since")), "id").select(*replies.columns, "_since")
         again.write.mode("overwrite").parquet(f"{log}/waiting/batch={batch_id}")
+        retain_batches(spark, f"{log}/waiting")
 
 
 def stream_load(
     messages: DataFrame, store: SnapshotStore, checkpoint: str, interval: int | None = DEFAULT_INTERVAL, log: str | None = None,
-    marks: str | None = None,
+    marks: str | None = None, patience: int = PATIENCE,
 ) -> StreamingQuery:
-    """The consumer: replies become rows of the masked copy. Late replies count like any other."""
-    return _start(messages, lambda batch, n: load_batch(batch, store, log, n, marks), checkpoint, interval)
+    """The consumer: replies become rows of the masked copy. Late replies count like any other. The log of loads is kept
+    beside the checkpoint unless a folder is named."""
+    log = log or f"{checkpoint.rstrip('/')}-loads"
+    return _start(messages, lambda batch, n: load_batch(batch, store, log, n, marks, patience), checkpoint, interval)
 
 
 def stream_pairing(
