@@ -219,7 +219,7 @@ _ORDER_VALUES = list(ENTITY_ORDER)
 oracle(
     "S10_reset_dataset",
     " UNION ALL ".join(
-        f"SELECT '{n}' AS entity, count(*) AS raw_rows, CAST(0 AS BIGINT) AS masked_rows, count(*) = 0 AS equal FROM gen_{n}" for n in ENTITY_ORDER
+        f"SELECT '{n}' AS entity, count(*) AS raw_rows, CAST(0 AS BIGINT) AS masked_rows, count(*) = 0 AS equal, CAST(0 AS BIGINT) AS log_rows FROM gen_{n}" for n in ENTITY_ORDER
     ),
 )
 oracle(
@@ -674,3 +674,26 @@ oracle(
     """SELECT id, '{"big":12345678901234567000,"id":' || id || ',"m":' || body || ',"z":0,"' || chr(128512) || '":' || id || '.5,"' || chr(65533) || '":1e+21}' AS canonical
     FROM bus_messages WHERE sender = 'test'""",
 )
+
+# ---------------------------------------------------------------- replies with new, known and orphaned rows
+_FK = "'parent row missing (FK)'"
+
+
+def _mixed(name: str, parent_key: str | None, parents: str) -> str:
+    there = f"id IN (SELECT id FROM early_{name})"
+    orphan = f"{parent_key} NOT IN ({parents})" if parent_key else "false"
+    lost = " WHERE id % 37 <> 0" if name == "customers" else ""
+    return f"""SELECT '{name}' AS entity, id, CASE WHEN {there} THEN 'conflict' WHEN {orphan} THEN 'skipped' ELSE 'inserted' END AS outcome,
+      CASE WHEN NOT {there} AND {orphan} THEN {_FK} END AS reason FROM bank_{name}{lost}"""
+
+
+_PEOPLE = "SELECT id FROM bank_customers WHERE id % 37 <> 0"
+_HELD = "SELECT id FROM bank_accounts WHERE id IN (SELECT id FROM early_accounts) OR customer_id % 37 <> 0"
+oracle(
+    "J11_load_mixed_replies",
+    " UNION ALL ".join(
+        _mixed(n, k, p) for n, k, p in (
+            ("customers", None, ""), ("addresses", "customer_id", _PEOPLE), ("accounts", "customer_id", _PEOPLE), ("cards", "account_id", _HELD), ("transactions", "account_id", _HELD),
+        )
+    ),
+)

@@ -137,6 +137,12 @@ def pending(messages: DataFrame, recipient: str) -> DataFrame:
     return messages.where((F.col("recipient") == recipient) & F.col("consumed_at").isNull())
 
 
+def pending_counts(messages: DataFrame) -> DataFrame:
+    """(recipient, pending): unread messages of each recipient that has any."""
+    unread = messages.where(F.col("consumed_at").isNull())
+    return unread.groupBy("recipient").agg(F.count(F.lit(1)).alias("pending"))
+
+
 def next_unread(messages: DataFrame) -> DataFrame:
     """The oldest unread message of each recipient.
 
