@@ -1,12 +1,14 @@
 """Language evidence without a page's own, against leaving pages out one by one; spans beside base spans; similarity bounds."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm.test_operators import classes
 from veilframe.llm import language, near_dedup, secrets
 from veilframe.llm.common import table
 
@@ -99,3 +101,21 @@ def test_held_out_keys_and_identifiers(spark, sf_dir):
 def test_a_similarity_below_the_bands_is_refused(spark):
     with pytest.raises(ValueError, match="0.8"):
         near_dedup.near_classes(spark.createDataFrame([], "doc_id long, text string"), threshold=0.6)
+
+
+@pytest.mark.parametrize("block", [3, 256])
+def test_families_in_many_blocks_keep_every_link(spark, monkeypatch, block):
+    """Copies at many distances, whose buckets hold several components at home and beside it, in blocks of a few texts."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(21)
+    docs = []
+    for family in range(3):
+        base = [f"f{family}w{k}" for k in range(130)]
+        for i in range(45):
+            copy = list(base)
+            for at in rng.choice(130, rng.integers(0, 9), replace=False):
+                copy[at] = f"x{family}y{i}z{at}"
+            docs.append((family * 100 + i, " ".join(copy)))
+    got = near_dedup.near_classes(spark.createDataFrame(docs, "doc_id long, text string").repartition(4)).collect()
+    groups = Counter(tuple(sorted(str(r.doc_id) for r in got if r.class_id == c)) for c in {r.class_id for r in got})
+    assert groups == classes(docs)

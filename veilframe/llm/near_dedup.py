@@ -42,7 +42,7 @@ BANDS, ROWS = 36, 6  # a pair at 0.8 shares no band once in 55,000
 PLACES = BANDS * ROWS
 # Agreeing places below which a pair at 0.8 falls once in a million: mean less 4.75 standard deviations.
 LEAST = int(SIMILARITY * PLACES - 4.75 * np.sqrt(PLACES * SIMILARITY * (1 - SIMILARITY)))
-BLOCK = 1024  # texts of a bucket in one block
+BLOCK = 256  # texts of a bucket in one block
 WORD_STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -180,35 +180,51 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
 def left_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """(a, b): links between texts of one bucket that were in different components.
 
-    ``buckets`` are (key, node, part). Members are dealt to blocks by a hash, so many that a block holds
-    about BLOCK; each pair of blocks is one group. A text needs one link into each other component.
+    ``buckets`` are (key, node, part). Of each bucket the component with most members is at home, and is compared with
+    the others only from their side. Members are dealt to blocks of about BLOCK by a hash, those at home and the others
+    apart. A group is a block at home with one of others, or a pair of blocks of others, so a text at home is copied once
+    for each block of others, however many are at home. Components that a group has linked are not compared again in it.
     """
-    mixed = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("part").alias("parts")).where(F.col("parts") > 1)
-    mixed = saved(mixed.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "mixed")
-    members = buckets.join(mixed, "key").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = members.select("key", "node", "part", "mine", other.alias("other")).select(
-        "key", "node", "part", "mine", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
+    sizes = buckets.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "part")).alias("top")).where(F.col("parts") > 1)
+    mixed = mixed.select(
+        "key", F.col("top.part").alias("home"), F.ceil(F.col("top.n") / BLOCK).cast("int").alias("homes"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("others")
+    )
+    mixed = saved(mixed, "mixed")
+    at_home = F.col("part") == F.col("home")
+    block = F.pmod(F.xxhash64("node"), F.when(at_home, F.col("homes")).otherwise(F.col("others"))).cast("int")
+    members = buckets.join(mixed, "key").withColumn("mine", F.when(at_home, block).otherwise(block + F.col("homes")))
+    first, last = F.col("homes"), F.col("homes") + F.col("others") - 1
+    met = F.explode(F.sequence(F.when(at_home, first).otherwise(F.lit(0)), last))
+    dealt = members.select("key", "node", "part", "mine", "homes", met.alias("other")).select(
+        "key", "node", "part", "mine", (F.col("mine") < F.col("homes")).alias("at_home"), F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high")
     )
     rows = dealt.join(sketches.select("node", "bands", "signature"), "node").join(texts, "node").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def compared(key: int, low: int, high: int, group: list[tuple]) -> list[tuple[int, int]]:
-        nodes, parts, mine = (np.array([g[i] for g in group]) for i in (0, 1, 2))
+        nodes, parts, mine, home = (np.array([g[i] for g in group]) for i in (0, 1, 2, 6))
         bands = np.array([g[3] for g in group], np.int64)
         marks = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), PLACES)
-        values, sizes = np.unique(parts, return_counts=True)
-        home = values[sizes.argmax()]  # the largest component is compared with the others only from their side
+        across = home.any()
+        root: dict[int, int] = {}
+
+        def of(part: int) -> int:
+            while (up := root.get(part, part)) != part:
+                root[part] = part = root.get(up, up)
+            return part
+
         links = []
-        for i in np.flatnonzero(parts != home):
+        for i in np.flatnonzero(~home):
             agreeing = (marks == marks[i]).sum(1)
-            likely = (agreeing >= LEAST) & (parts != parts[i]) & ((parts == home) | (nodes > nodes[i])) & ((low == high) | (mine != mine[i]))
-            joined = set()
+            # each pair once: others with those at home, others of one block by node, of two blocks by block
+            meets = home if across else nodes > nodes[i] if low == high else mine > mine[i]
+            likely = (agreeing >= LEAST) & (parts != parts[i]) & meets
             for j in sorted(np.flatnonzero(likely), key=lambda j: -agreeing[j]):
                 shared = bands[i] == bands[j]
-                if parts[j] in joined or bands[i][shared.argmax()] != key:  # only in the first bucket that both share
+                if of(parts[j]) == of(parts[i]) or bands[i][shared.argmax()] != key:  # only in the first bucket that both share
                     continue
                 if similarity(weighed(group[i][5]), weighed(group[j][5])) >= threshold:
-                    joined.add(parts[j])
+                    root[of(parts[j])] = of(parts[i])
                     links.append((int(nodes[i]), int(nodes[j])))
         return links
 
@@ -227,11 +243,11 @@ def left_links(buckets: DataFrame, sketches: DataFrame, texts: DataFrame, thresh
                     if now is not None:
                         yield out()
                     now, group = at, []
-                group.append(tuple(cols[c][i] for c in ("node", "part", "mine", "bands", "signature", "text")))
+                group.append(tuple(cols[c][i] for c in ("node", "part", "mine", "bands", "signature", "text", "at_home")))
         if now is not None:
             yield out()
 
-    return rows.select("key", "low", "high", "node", "part", "mine", "bands", "signature", "text").mapInArrow(run, "a long, b long")
+    return rows.select("key", "low", "high", "node", "part", "mine", "at_home", "bands", "signature", "text").mapInArrow(run, "a long, b long")
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
