@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import warnings
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.functions.masks import mask_table
@@ -97,39 +98,65 @@ def customer_account_card(tables: Mapping[str, DataFrame], n: int = 10) -> DataF
     )
 
 
-def page_plan(
-    rows: DataFrame, entity: str, batch: int | None = None, since: int = 0, max_pages: int | None = None
-) -> DataFrame:
-    """The requests a paged copy makes: (page, since_id, page_rows, first_id, last_id, next_since_id).
+def _page_counts(places: DataFrame, size: Column, starts: DataFrame, max_pages: int | None, keys: list[str]) -> DataFrame:
+    """The pages of positioned ids: each page's first, last and number of ids, and the id it starts after.
 
-    Pages are full until the last, which is short and possibly empty: that is how a copy learns it
-    is done. The last id of a full page is also what the next page starts after, so each such row
-    is counted in both and one aggregation yields the whole plan.
+    The last id of a full page is also what the next page starts after, so each such row is counted
+    in both and one aggregation yields the whole plan.
     """
-    size = batch or PAGE_ROWS[entity]
-    place = positions(rows.where(F.col("id") > since).select("id"), "id")
     page = F.floor((F.col("position") - 1) / size)
     own = F.struct(page.alias("page"), F.col("id"), F.lit(None).cast("bigint").alias("since_id"))
     following = F.struct(
         (page + 1).alias("page"), F.lit(None).cast("bigint").alias("id"), F.col("id").alias("since_id")
     )
     ends_page = F.col("position") % size == 0
-    entries = place.select(
-        F.inline(F.when(ends_page, F.array(own, following)).otherwise(F.array(own)))
+    entries = places.select(
+        *keys, F.inline(F.when(ends_page, F.array(own, following)).otherwise(F.array(own)))
     )
-    start = rows.sparkSession.range(1).select(
-        F.lit(0).cast("bigint").alias("page"), F.lit(None).cast("bigint").alias("id"),
-        F.lit(since).cast("bigint").alias("since_id"),
+    start = starts.select(
+        *keys, F.lit(0).cast("bigint").alias("page"), F.lit(None).cast("bigint").alias("id"), "since_id"
     )
     plan = entries.unionByName(start)
     if max_pages is not None:
         plan = plan.where(F.col("page") < max_pages)
-    return plan.groupBy("page").agg(
+    return plan.groupBy(*keys, "page").agg(
         F.max("since_id").alias("since_id"), F.count("id").alias("page_rows"),
         F.min("id").alias("first_id"), F.max("id").alias("last_id"),
     ).withColumn("next_since_id", F.coalesce("last_id", "since_id"))
 
 
+def page_plan(
+    rows: DataFrame, entity: str, batch: int | None = None, since: int = 0, max_pages: int | None = None
+) -> DataFrame:
+    """The requests a paged copy makes: (page, since_id, page_rows, first_id, last_id, next_since_id).
+
+    Pages are full until the last, which is short and possibly empty: that is how a copy learns it
+    is done.
+    """
+    size = F.lit(batch or PAGE_ROWS[entity])
+    places = positions(rows.where(F.col("id") > since).select("id"), "id")
+    starts = rows.sparkSession.range(1).select(F.lit(since).cast("bigint").alias("since_id"))
+    return _page_counts(places, size, starts, max_pages, [])
+
+
+def page_plans(
+    raw: Mapping[str, DataFrame], since: Mapping[str, int], max_pages: int | None = None
+) -> DataFrame:
+    """The page plans of several entities in one count: the columns of ``page_plan`` and ``entity``.
+
+    The ids of all entities are positioned together, by entity; an entity of many rows is split by
+    its ids as any hot key is.
+    """
+    names = [name for name in ENTITY_ORDER if name in since]
+    ids = reduce(DataFrame.unionByName, [
+        raw[name].where(F.col("id") > since[name]).select(F.lit(name).alias("entity"), "id") for name in names
+    ])
+    size = F.element_at(F.create_map(*[F.lit(x) for name in names for x in (name, PAGE_ROWS[name])]), F.col("entity"))
+    spark = ids.sparkSession
+    starts = spark.createDataFrame([(name, since[name]) for name in names], "entity STRING, since_id BIGINT")
+    return _page_counts(positions(ids, "id", keys=["entity"]), size, starts, max_pages, ["entity"])
+
+
 def baseline_snapshot(raw: DataFrame, old: DataFrame, entity: str) -> DataFrame:
     """The masked side after a baseline: every raw row masked, inserted or replaced by id."""
     return upsert(old, mask_table(raw.select(*lookup(entity).columns), entity), entity)
@@ -184,14 +211,14 @@ def append_masked(rows: DataFrame, store: SnapshotStore, entity: str, order: str
     store.append(entity, insert_if_absent(rows, store.read(entity), entity, order))
 
 
-def page_requests(plan: DataFrame, entity: str, batch: int | None = None, last_id: int = 0) -> DataFrame:
-    """The request messages of a page plan, from the even id ``last_id`` on. The reply to each takes the next number."""
-    size = batch or PAGE_ROWS[entity]
-    body = F.to_json(
-        F.struct(F.lit(entity).alias("entity"), F.col("since_id"), F.lit(size).alias("limit"))
-    )
+def page_requests(plan: DataFrame, last_ids: Mapping[str, int]) -> DataFrame:
+    """The request messages of page plans, an entity's from its even id on. The reply to each takes the next number."""
+    def of(values: Mapping[str, int]) -> Column:
+        return F.element_at(F.create_map(*[F.lit(x) for name in last_ids for x in (name, values[name])]), F.col("entity"))
+
+    body = F.to_json(F.struct(F.col("entity"), F.col("since_id"), of(PAGE_ROWS).alias("limit")))
     return plan.select(
-        (F.lit(last_id) + F.col("page") * 2 + 1).alias("id"),
+        (of(last_ids) + F.col("page") * 2 + 1).cast("bigint").alias("id"),
         F.lit("test").alias("sender"), F.lit("prod").alias("recipient"), body.alias("body"),
         F.current_timestamp().alias("created_at"), F.current_timestamp().alias("consumed_at"),
     )
@@ -214,32 +241,38 @@ def copy_paged(
     max_pages: int | None = None,
     log: str | None = None,
 ) -> DataFrame:
-    """A delta copy through requests and replies, entity by entity: the load summary.
+    """A delta copy through requests and replies: the load summary of each entity.
 
-    All pages of an entity are asked for at once; each starts where the one before it ends. Requests
-    and replies are written to the message log (``log``, or the scratch folder) before they are
-    loaded, and each entity is in the masked copy before its children come. Message ids continue from
-    the log's highest. Under a cap on pages, a warning says which entities have more.
+    All pages of all entities are asked for at once, numbered entity by entity; each starts where the
+    one before it ends. Requests and replies are written to the message log (``log``, or the scratch
+    folder) before they are loaded, and each entity is in the masked copy before its children come.
+    Message ids continue from the log's highest. Under a cap on pages, a warning says which entities
+    have more.
     """
     spark = store.spark
     path = log or scratch_dir(spark, "log")
-    last_id = highest_id(spark, path)
-    decided: dict[str, DataFrame] = {}
+    known = store.read_all()
+    marks = reduce(DataFrame.unionByName, [
+        watermark(known[name]).select(F.lit(name).alias("entity"), "watermark") for name in ENTITY_ORDER
+    ])
+    since = {r["entity"]: r["watermark"] for r in marks.collect()}
+    plan = materialize(page_plans(raw, since, max_pages), "page-plan")
+    full = F.count_if(F.element_at(F.create_map(*[F.lit(x) for pair in PAGE_ROWS.items() for x in pair]), F.col("entity")) == F.col("page_rows"))
+    made = {r["entity"]: r for r in plan.groupBy("entity").agg(F.count(F.lit(1)).alias("pages"), full.alias("full")).collect()}
+    last_ids, last_id = {}, highest_id(spark, path)
     for name in ENTITY_ORDER:
-        known = {e: store.read(e) for e in (name, lookup(name).parent) if e}
-        since = watermark(known[name]).first()[0]
-        plan = page_plan(raw[name], name, None, since, max_pages)
-        requests = materialize(page_requests(plan, name, None, last_id), f"requests-{name}")
-        pages = requests.count()
+        last_ids[name] = last_id
+        pages = made[name]["pages"] if name in made else 0
         last_id += 2 * pages
-        if max_pages is not None and pages >= max_pages and plan.where(F.col("page_rows") == PAGE_ROWS[name]).count() == pages:
+        if max_pages is not None and pages >= max_pages and made[name]["full"] == pages:
             warnings.warn(f"{name}: there may be more rows than {max_pages} pages hold", stacklevel=2)
-        answers = answer_requests(requests, raw, kinds=[(name, False)])
-        replies = materialize(
-            reply_messages(answers, F.current_timestamp(), base=1).withColumn("consumed_at", F.current_timestamp()),
-            f"replies-{name}",
-        )
-        append_messages(requests.unionByName(replies), path)
-        decided[name] = load_replies(replies, known, [name])[name]
+    requests = materialize(page_requests(plan, last_ids), "page-requests")
+    answers = answer_requests(requests, raw, kinds=[(name, False) for name in ENTITY_ORDER])
+    replies = materialize(
+        reply_messages(answers, F.current_timestamp(), base=1).withColumn("consumed_at", F.current_timestamp()), "page-replies"
+    )
+    append_messages(requests.unionByName(replies), path)
+    decided = load_replies(replies, known)
+    for name in ENTITY_ORDER:
         store.append(name, accepted(decided[name], name))
     return summarize_loads(decided)
