@@ -1,6 +1,7 @@
 """Mixing, sharding and the quality classifier against plain Python and numpy on small inputs; odd rows through the pipeline."""
 
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veilframe.llm import mixing, quality, sharding
-from veilframe.llm.common import saved, table
+from veilframe.llm.common import prefix_sums, saved, table
 
 
 def spark_hash(text: str) -> int:
@@ -88,6 +89,19 @@ def test_memberships_and_rates_equal_plain_python(spark):
     assert np.abs(rate - np.array([got[i].rate for i in ids])).max() < 0.05
 
 
+# ---------------------------------------------------------------- 3 and 7, places in a global order
+def test_prefix_sums(spark):
+    rng = random.Random(5)
+    parts = sorted({rng.randrange(40_000) for _ in range(600)} | {4095, 4096, 8191, 8192, 1 << 23})
+    rows = [(p, rng.choice([None, 0, 1, rng.randrange(1 << 40)])) for p in parts]
+    wanted, at = {}, 0
+    for p, n in rows:
+        wanted[p], at = at, at + (n or 0)
+    totals = saved(spark.createDataFrame(rng.sample(rows, len(rows)), "part long, n long"), "totals")
+    assert {r.part: r.base for r in prefix_sums(totals, "part", "n", "base").collect()} == wanted
+    assert prefix_sums(totals.limit(0), "part", "n", "base").isEmpty()
+
+
 # ---------------------------------------------------------------- 7 sharding
 def test_propagation_cuts_fewer_links_than_a_hash(spark):
     rng = np.random.default_rng(7)

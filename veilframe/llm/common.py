@@ -6,7 +6,7 @@ of the input, whatever they are called, never clash with what it computes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from veilframe.session import materialize
@@ -48,6 +48,20 @@ def small(keys: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(limit + 1).count() <= limit else keys
 
 
+def prefix_sums(totals: DataFrame, part: str, value: str, out: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows with a smaller ``part``, a unique number such as a task's.
+
+    First within groups of 4096 parts, then over the groups' sums: no window holds more than 4096 of up to 2^24 rows.
+    ``totals`` is read twice, so it should be a saved table. An empty table gives none; a NULL value adds nothing.
+    """
+    before = (Window.unboundedPreceding, -1)
+    rows = totals.withColumn("_group", F.shiftright(part, 12))
+    groups = rows.groupBy("_group").agg(F.sum(value).alias("_sum"))
+    far = groups.select("_group", F.coalesce(F.sum("_sum").over(Window.orderBy("_group").rowsBetween(*before)), F.lit(0)).alias("_far"))
+    near = F.coalesce(F.sum(value).over(Window.partitionBy("_group").orderBy(part).rowsBetween(*before)), F.lit(0))
+    return rows.withColumn("_near", near).join(far, "_group").select(*totals.columns, (F.col("_near") + F.col("_far")).alias(out))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest id of each connected component, for every node that has an edge.
 

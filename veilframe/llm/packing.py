@@ -32,9 +32,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import saved, small, texts
+from veilframe.llm.common import prefix_sums, saved, small, texts
 from veilframe.llm.words import slices
-from veilframe.operators.ordered import ordered_scan
 
 WINDOW = 1024
 END_ID = 0
@@ -115,12 +114,12 @@ def token_ids(array: pa.Array, path: str) -> list[np.ndarray]:
 
 def token_streams(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """First pass: (part, start, doc_id, n, ids): each document's ids as 16-bit numbers, and its place in the stream of its task."""
-    path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file = path or public_tokenizers.path(RANKS)  # where this worker has it
         part, at = TaskContext.get().partitionId(), 0
         for batch in (part for whole in batches for part in slices(whole, "text")):
-            ids = [np.append(x, np.uint16(END_ID)) for x in token_ids(batch.column("text"), path)]
+            ids = [np.append(x, np.uint16(END_ID)) for x in token_ids(batch.column("text"), file)]
             n = np.array([len(x) for x in ids], np.int64)
             starts = at + np.cumsum(n) - n
             at += int(n.sum())
@@ -134,8 +133,8 @@ def token_streams(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
 def placed(streams: DataFrame) -> DataFrame:
     """Each document with ``at``, its global place, and the range [base, until) of its task's stream."""
-    totals = streams.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("total"))
-    bases = saved(ordered_scan(totals, "part", F.col("total"), "base", inclusive=False), "bases")
+    totals = saved(streams.groupBy("part").agg(F.max(F.col("start") + F.col("n")).alias("total")), "totals")
+    bases = saved(prefix_sums(totals, "part", "total", "base"), "bases")
     spans = bases.select("part", "base", (F.col("base") + F.col("total")).alias("until"))
     return streams.join(small(spans), "part").select("doc_id", "n", "ids", (F.col("base") + F.col("start")).alias("at"), "base", "until")
 

@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import column, discard, saved
-from veilframe.operators.ordered import ordered_scan
+from veilframe.llm.common import column, discard, prefix_sums, saved
 
 SHARDS = 24
 ROUNDS = 6
@@ -131,8 +130,8 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     places = saved(ordered.select("row", F.monotonically_increasing_id().alias("place")), "places")
     part, within = F.shiftright("place", 33), F.col("place").bitwiseAND((1 << 33) - 1)
     spread = places.select("row", part.alias("part"), within.alias("within"))
-    totals = spread.groupBy("part").agg((F.max("within") + 1).alias("n"))
-    bases = ordered_scan(totals, "part", F.col("n"), "base", inclusive=False).select("part", "base")
+    totals = saved(spread.groupBy("part").agg((F.max("within") + 1).alias("n")), "totals")
+    bases = prefix_sums(totals, "part", "n", "base").select("part", "base")
     position = spread.join(bases, "part").select("row", (F.col("base") + F.col("within")).alias("position"))
     # shard s holds the positions from ceil(s * total / shards)
     exact = F.expr(f"position * {shards} div {max(total, 1)}")
