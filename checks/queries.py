@@ -829,22 +829,23 @@ def _(spark, sf):
     return digests(store.read_all())
 
 
-def _half_synced(spark, sf) -> snapshots.SnapshotStore:
+def _half_synced(spark, raw: dict[str, DataFrame]) -> snapshots.SnapshotStore:
     store = store_at(spark, "delta")
-    for name, df in masked_tables(spark, sf).items():
+    for name, df in mask_all(raw).items():
         store.replace(name, lower_half(df))
     return store
 
 
 @query("C2_delta_summary")
 def _(spark, sf):
-    raw = bank_tables(spark, sf)
+    raw = written_once(bank_tables(spark, sf))
     return sync.delta_summary(raw, earlier(raw))
 
 
 @query("C2_sync_delta")
 def _(spark, sf):
-    store, raw = _half_synced(spark, sf), bank_tables(spark, sf)
+    raw = written_once(bank_tables(spark, sf))
+    store = _half_synced(spark, raw)
     sync.sync_delta(raw, store)
     sync.sync_delta(raw, store)
     return digests(store.read_all())
