@@ -823,7 +823,7 @@ def _(spark, sf):
 # ---------------------------------------------------------------- copies and generation
 @query("C1_sync_baseline")
 def _(spark, sf):
-    raw, store = bank_tables(spark, sf), store_at(spark, "baseline")
+    raw, store = written_once(bank_tables(spark, sf)), store_at(spark, "baseline")
     sync.sync_baseline(raw, store)
     sync.sync_baseline(raw, store)
     return digests(store.read_all())
