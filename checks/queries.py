@@ -95,10 +95,13 @@ def store_at(spark: SparkSession, purpose: str) -> snapshots.SnapshotStore:
     return snapshots.SnapshotStore(spark, scratch_dir(spark, purpose))
 
 
+FILE_ROWS = 1 << 20
+
+
 def as_files(df: DataFrame, purpose: str, files: int = 4, order: str = "id") -> str:
-    """Write an input as a few files by id range, to be streamed file by file."""
+    """Write an input as files by id range, to be streamed file by file: a few, or as many times that as keep them small."""
     path = scratch_dir(df.sparkSession, purpose)
-    df.repartitionByRange(files, order).write.parquet(path)
+    df.repartitionByRange(files * max(1, -(-df.count() // (files * FILE_ROWS))), order).write.parquet(path)
     return path
 
 
@@ -888,7 +891,9 @@ def _(spark, sf):
 
 # ---------------------------------------------------------------- streams, run until the input is used up
 def _stream(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(path)
+    """Half of the files in each batch, two at least."""
+    files = len(spark.read.schema(schema).parquet(path).inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max(2, -(-files // 2))).parquet(path)
 
 
 def _stream_at_once(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from veilframe.functions.masks import mask_table
 from veilframe.operators.audit import bus_aggregates, row_counts
 from veilframe.operators.bus import REPLY_ID_BASE, answer_requests, load_replies, reply_messages, summarize_loads
-from veilframe.operators.loads import MISSING_PARENT, accepted, classify_load
+from veilframe.operators.loads import MISSING_PARENT, accepted, constraint_report, decide_load
 from veilframe.operators.traces import is_fault, trace_filter
 from veilframe.plans.retention import retain_batches
 from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA, entity as lookup
@@ -96,9 +96,9 @@ def copy_batch(
     if waiting and batch_id:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ent.schema) + ", _since TIMESTAMP"
         rows = _left_over(batch.sparkSession, waiting, batch_id, schema).unionByName(rows)
-    rows = materialize(rows.withColumn("_arrival", F.monotonically_increasing_id()), "stream-rows")
-    parents = within(store.read(ent.parent), rows, ent.parent_key) if ent.parent else None
-    decided = materialize(classify_load(rows, within(store.read(entity), rows, "id"), entity, "_arrival", parents), "stream-load")
+    report = materialize(constraint_report(rows.withColumn("_arrival", F.monotonically_increasing_id()), entity), "stream-rows")
+    parents = within(store.read(ent.parent), report, ent.parent_key) if ent.parent else None
+    decided = materialize(decide_load(report, within(store.read(entity), report, "id"), entity, "_arrival", parents), "stream-load")
     store.append(entity, accepted(decided, entity))
     skipped = decided.where(F.col("outcome") == "skipped")
     if waiting:
