@@ -946,7 +946,8 @@ def _(spark, sf):
     store = store_at(spark, "loaded")
     store.reset()
     # a child that comes before its parent is skipped, so the replies arrive in one batch
-    path = as_files(_replies(spark, sf), "replies", files=2)
+    path = scratch_dir(spark, "replies")
+    _replies(spark, sf).write.parquet(path)
     source = _stream_at_once(spark, path, MESSAGE_SCHEMA)
     flows.stream_load(source, store, scratch_dir(spark, "t3"), None).awaitTermination()
     return digests(store.read_all())
