@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.text import luhn_check_digit
 from veilframe.operators.ordered import positions
 from veilframe.registry import ENTITY_ORDER, entity as lookup
+from veilframe.session import materialize
 
 # Merchants with their categories.
 MERCHANTS = {
@@ -102,10 +103,10 @@ def generate_bank(
     )
 
     key = F.col("_key")
-    addresses = _children(people, draw(cid, seed, 20, 2) + 1, 2, "customer_id", "_key")
+    addresses = _numbered(_children(people, draw(cid, seed, 20, 2) + 1, 2, "customer_id", "_key"), "addresses", start)
     city = draw(key, seed, 24, len(CITIES))
     addresses = addresses.select(
-        "_key", "customer_id",
+        "id", "customer_id",
         F.concat((draw(key, seed, 21, 9999) + 1).cast("string"), F.lit(" "), _pick(STREETS, key, seed, 22)).alias("line1"),
         F.when(
             draw(key, seed, 23, 3) == 2,
@@ -117,10 +118,12 @@ def generate_bank(
         F.lit("US").alias("country"),
     )
 
-    accounts = _children(people, draw(cid, seed, 30, 3) + 1, 3, "customer_id", "_key")
+    # keys are numbered before anything is derived from them, so that no values go through the sort
+    accounts = _numbered(_children(people, draw(cid, seed, 30, 3) + 1, 3, "customer_id", "_key"), "accounts", start)
+    accounts = materialize(accounts.select("id", "_key", "customer_id"), "accounts")
     status = draw(key, seed, 35, 5)
     accounts = accounts.select(
-        "_key", "customer_id",
+        "id", "_key", "customer_id",
         _padded(key, seed, 31, 9).alias("account_number"),
         _padded(key, seed, 32, 9).alias("routing_number"),
         _pick(("checking", "savings", "credit"), key, seed, 33).alias("account_type"),
@@ -129,18 +132,17 @@ def generate_bank(
         F.when(status < 3, "active").when(status == 3, "frozen").otherwise("closed").alias("status"),
         (MONTH + draw(key, seed, 36, SIX_YEARS - MONTH)).alias("_age"),
     )
-    accounts = _numbered(accounts, "accounts", start)
 
     held = accounts.select(F.col("id").alias("account_id"), "customer_id", "_key", "_age")
     held = held.withColumnRenamed("_key", "_account")
     account = F.col("_account")
 
-    cards = _children(held, draw(account, seed, 40, 3), 2, "_account", "_key")
+    cards = _numbered(_children(held, draw(account, seed, 40, 3), 2, "_account", "_key"), "cards", start)
     brand = draw(key, seed, 41, 3)
     prefix = F.element_at(F.array(*[F.lit(p) for _, p in BRANDS]), (brand + 1).cast("int"))
     number = F.left(F.concat(prefix, _padded(key, seed, 42, 7), _padded(key, seed, 43, 7)), F.lit(15))
     cards = cards.withColumn("_number", number).select(
-        "_key", "account_id",
+        "id", "account_id",
         F.concat("_number", luhn_check_digit(F.col("_number")).cast("string")).alias("card_number"),
         F.upper(F.concat(first, F.lit(" "), last)).alias("cardholder_name"),
         F.element_at(F.array(*[F.lit(b) for b, _ in BRANDS]), (brand + 1).cast("int")).alias("brand"),
@@ -150,12 +152,12 @@ def generate_bank(
         F.when(draw(key, seed, 47, 3) < 2, "active").otherwise("frozen").alias("status"),
     )
 
-    transactions = _children(held, draw(account, seed, 50, 16) + 5, 20, "_account", "_key")
+    transactions = _numbered(_children(held, draw(account, seed, 50, 16) + 5, 20, "_account", "_key"), "transactions", start)
     merchant = draw(key, seed, 52, len(MERCHANTS))
     name = F.element_at(F.array(*[F.lit(m) for m in MERCHANTS]), (merchant + 1).cast("int"))
     category = F.element_at(F.array(*[F.lit(c) for c in MERCHANTS.values()]), (merchant + 1).cast("int"))
     transactions = transactions.select(
-        "_key", "account_id",
+        "id", "account_id",
         _before(epoch, draw(key, seed, 51, F.col("_age") + 1)).alias("occurred_at"),
         ((draw(key, seed, 53, 119_851) + 150).cast("decimal(20,0)") / 100).cast("decimal(12,2)").alias("amount"),
         F.when(draw(key, seed, 54, 4) < 3, "debit").otherwise("credit").alias("direction"),
@@ -166,10 +168,10 @@ def generate_bank(
 
     made = {
         "customers": customers,
-        "addresses": _numbered(addresses, "addresses", start),
+        "addresses": addresses,
         "accounts": accounts.withColumn("opened_at", _before(epoch, F.col("_age"))),
-        "cards": _numbered(cards, "cards", start),
-        "transactions": _numbered(transactions, "transactions", start),
+        "cards": cards,
+        "transactions": transactions,
     }
     return {name: made[name].select(*lookup(name).columns) for name in ENTITY_ORDER}
 
