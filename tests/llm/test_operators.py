@@ -110,6 +110,21 @@ def test_topk_few_candidates(spark):
     assert topk.top_k(df.limit(0), df, 20).count() == 0
 
 
+def test_topk_broadcasts_no_vectors(spark):
+    """Many teams and chunks, every pair of blocks in one of them; nothing that grows goes through the driver."""
+    vectors = [(i, [float(i % 7), float(i % 11) - 5]) for i in range(400)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>").repartition(5)
+    left, right = (topk.blocks(d.select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x * 64).alias("v")), "test") for d in (df, df))
+    one = F.struct(F.lit(0).cast("decimal(20,0)").alias("low"), F.lit(1).cast("bigint").alias("left"))
+    state = left.select("block", F.array_repeat(one, F.col("n").cast("int")).alias("state"))
+    met = topk.met(left, right, state, 3, 4)
+    pairs = met.where("side = 0").select("team", "chunk", F.col("block").alias("q")).join(met.where("side = 1").select("team", "chunk", "block"), ["team", "chunk"])
+    assert pairs.count() == pairs.select("q", "block").distinct().count() == left.count() * right.count()
+    got = topk.top_k(df.where("vec_id % 20 = 0"), df, 20)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(plain(got)) == brute(vectors, 20)
+
+
 # ---------------------------------------------------------------- 3 packing
 TRICKY = [
     "", "  a b  c", "a  b", " lead", "trail ", "x\ty  z\n\n q", "it's we'll 'S   nb  sp", "<|endoftext|> hi", "日本語 テキスト", "a  b", "\n \n", "a \n b", "é è  ê", " ",
