@@ -1,14 +1,20 @@
 """Steps whose cost used to grow faster than it had to: inputs worked out again, rows shuffled for a decision, few files."""
 
+import os
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 
 from checks import queries
 from checks.queries import QUERIES
 from tests.conftest import rows
+from veilframe import session
 from veilframe.operators import bus, generate, loads
-from veilframe.registry import MESSAGE_SCHEMA
+from veilframe.plans import sync
+from veilframe.registry import ENTITY_ORDER, MESSAGE_SCHEMA
+from veilframe.sources.fixtures import bank_tables
+from veilframe.sources.snapshots import SnapshotStore
 
 
 class Stop(Exception):
@@ -100,3 +106,30 @@ def test_accounts_are_numbered_once(spark, capsys):
     assert "Window" not in plan(made["accounts"], capsys)
     cards = plan(made["cards"], capsys)
     assert "md5" not in cards[cards.index("Window"):].split("Project")[0]
+
+
+def test_a_copy_keeps_only_what_is_read_later(spark, sf_dir, tmp_path):
+    raw = {n: df.where("id <= 3") if n == "customers" else df.limit(0) for n, df in bank_tables(spark, sf_dir).items()}
+    store, path, shared = SnapshotStore(spark, str(tmp_path / "masked")), tmp_path / "log", spark.conf.get("spark.checkpoint.dir") + "/veilframe"
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    summary = sync.copy_paged(raw, store, log=str(path))
+    left = {n.rsplit("-", 1)[0] for n in set(os.listdir(shared)) - before}
+    assert left == {f"load-{n}" for n in ENTITY_ORDER}
+    assert spark.conf.get(session.FILE_CLEANUP, None) in (None, "false")
+    assert summary.where("entity = 'customers'").first()["inserted"] == 3 and store.read("customers").count() == 3
+    files = [pq.ParquetFile(f).metadata for f in path.glob("*.parquet")]
+    assert {m.row_group(0).column(3).compression for m in files if m.num_row_groups} == {"ZSTD"}
+
+
+def test_many_positions_are_not_broadcast(spark, sf_dir, monkeypatch):
+    """Whatever little room positions take on disk; rows cross the shuffle to their cell typed, and are written as JSON behind it."""
+    tables = {n: df for n, df in bank_tables(spark, sf_dir).items() if n in ("customers", "accounts")}
+    data = [(i, "test", "prod", f'{{"entity":"{n}","since_id":{i * 7},"limit":40}}', None, None) for i, n in enumerate(["customers", "accounts"] * 4)]
+    requests = spark.createDataFrame(data, MESSAGE_SCHEMA)
+    few = rows(bus.answer_requests(requests, tables), "request_id")
+    monkeypatch.setattr(bus, "PLANNED_ROWS", 0)
+    many = bus.answer_requests(requests, tables)
+    text = many._jdf.queryExecution().executedPlan().toString()
+    assert rows(many, "request_id") == few and sum(r[4] for r in few) > 0
+    assert text.count("BroadcastHashJoin") == 0
+    assert "of_customers" in text[text.index("REPARTITION"):]  # what makes the rows of the shuffle to the cells stands below it
